@@ -48,7 +48,9 @@ _HAN = re.compile(r"[㐀-鿿]")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Names in brackets or quotation marks and words of capitals say nothing about the language around them.
-_ASIDE = re.compile(r"[(（\[【][^()（）\[\]【】]{0,30}[)）\]】]|\b[A-Z0-9][A-Z0-9-]+\b")
+_BRACKETS = re.compile(r"[(（\[【][^()（）\[\]【】]{0,30}[)）\]】]")
+_CAPITALS = re.compile(r"\b[A-Z0-9][A-Z0-9-]+\b")
+_SMALL = re.compile(r"[a-zß-öø-ÿ]{2}")
 
 
 def language_of_label(label):
@@ -89,9 +91,14 @@ class _Letters:
 _letters = _Letters()
 
 
+def _without_asides(segment: str) -> str:
+    bare = _BRACKETS.sub(" ", segment)
+    return _CAPITALS.sub(" ", bare) if _SMALL.search(bare) or _HAN.search(bare) else bare
+
+
 def letters_only(segment: str) -> str:
     """What a segment's vector is made of: small letters, everything between them one blank."""
-    plain = _NOT_LETTERS.sub(" ", _ASIDE.sub(" ", segment).lower()).strip()
+    plain = _NOT_LETTERS.sub(" ", _without_asides(segment).lower()).strip()
     return f" {plain} " if plain else ""
 
 
@@ -175,7 +182,7 @@ def split(text: str) -> list[str]:
 
 def is_sentence(segment: str) -> bool:
     """Whether a piece is a sentence and not only names, a unit, a figure, a footer or a stump of a few words."""
-    bare = _ASIDE.sub(" ", segment)
+    bare = _without_asides(segment)
     han, words = len(_HAN.findall(bare)), len(_LATIN.findall(bare))
     ended = bool(_ENDED.search(segment))
     if not ended and _LABEL.match(segment.strip()):
