@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import references
+from quillspark.plans import references, series
 
-MODULES = (references,)
+MODULES = (references, series)
 
 
 def queries() -> dict:
