@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import references, series
+from quillspark.plans import references, relational, series, texts
 
-MODULES = (references, series)
+MODULES = (references, series, relational, texts)
 
 
 def queries() -> dict:
