@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import references, relational, series, texts
+from quillspark.plans import references, relational, samples, series, texts
 
-MODULES = (references, series, relational, texts)
+MODULES = (references, series, relational, texts, samples)
 
 
 def queries() -> dict:
