@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import references, relational, samples, series, texts
+from quillspark.plans import references, relational, samples, series, sources, texts
 
-MODULES = (references, series, relational, texts, samples)
+MODULES = (references, series, relational, texts, samples, sources)
 
 
 def queries() -> dict:

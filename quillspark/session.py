@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files of one run, in the folder that all executors share; on one machine in a folder of our own."""
+    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a CPU-heavy stage enough tasks: repartition only where the scan yields fewer than the cluster has cores."""
     least = least or df.sparkSession.sparkContext.defaultParallelism
