@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.skew import lookup_join
+from quillspark.session import cut_lineage
 from quillspark.sources.tables import image_key
 
 #: What may follow a text's last sentence, or the place of a cut: white space, quotation marks and emphasis, ellipses,
@@ -22,9 +23,6 @@ TAIL = (
     r")++$"
 )
 
-#: Marks that end a sentence.
-TERMINAL = r"[.。．｡!?！？‽]$"
-
 #: A final point that ends no sentence: that of a number after a Chinese word, or of a common abbreviation.
 FALSE_POINT = r"(?:\p{IsHan}\s?\d[\d,]*|(?:^|[\s\d])(?:Mio|Mrd|ca|bzw|vs|approx|Nr|No|St|etc))\.$"
 
@@ -35,55 +33,62 @@ PROSE = r"(?s)(?:\p{L}{2,}[^\p{L}]+\p{L}{2,}|(?:\p{IsHan}[^\p{IsHan}]*){4})"
 SPIKE_TEXTS, SPIKE_TIMES, NEAR = 8, 4.0, 12
 
 
+#: Last characters after which nothing is to be taken off.
+STOPS = (".", "。", "．", "!", "?", "！", "？")
+
+
 def body(text):
-    """The text without what may follow its last sentence or a cut."""
-    return F.regexp_replace(text, TAIL, "")
+    """The text without what may follow its last sentence or a cut. Most texts end in a stop and are left as they are."""
+    dots = F.endswith(text, F.lit("..")) | F.endswith(text, F.lit("。.")) | F.endswith(text, F.lit("．."))
+    return F.when(F.right(text, F.lit(1)).isin(*STOPS) & ~dots, text).otherwise(F.regexp_replace(text, TAIL, ""))
 
 
 def unterminated(text):
     """Whether a text has prose whose last sentence doesn't end; false for null, blank and figures only."""
-    rest = body(F.concat(text, F.lit("")))
-    stops = rest.rlike(TERMINAL) & ~rest.rlike(FALSE_POINT)
-    return F.coalesce(rest.rlike(PROSE) & ~stops, F.lit(False))
+    rest = body(text)
+    stops = F.right(rest, F.lit(1)).isin(*STOPS, "｡", "‽") & ~F.right(rest, F.lit(24)).rlike(FALSE_POINT)
+    return F.coalesce(F.when(stops, False).otherwise(rest.rlike(PROSE)), F.lit(False))
 
 
-def length_spikes(texts: DataFrame) -> DataFrame:
+def length_spikes(measured: DataFrame) -> DataFrame:
     """tab, source, unit (chars or bytes), length, texts: the lengths at which a source has far too many texts, a third
-    of them or more unterminated.
-
-    The search works on one row for each table, source and length.
-    """
-    lengths = texts.where("text rlike '\\\\S'").select(
-        "tab", "source", unterminated(F.col("text")).alias("open"), F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length"))))
+    of them or more unterminated. Works on one row for each table, source and length."""
+    lengths = measured.where("chars > 0 and not blank").select(
+        "tab", "source", "cut", F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     )
-    counts = lengths.groupBy("tab", "source", "unit", "length").agg(F.count(F.lit(1)).alias("texts"), F.count_if("open").alias("open"))
+    counts = lengths.groupBy("tab", "source", "unit", "length").agg(F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("open"))
     near = Window.partitionBy("tab", "source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     others = (F.sum("texts").over(near) - F.col("texts")) / (2.0 * NEAR)
     return counts.withColumn("others", others).where((F.col("texts") >= SPIKE_TEXTS) & (3 * F.col("open") >= F.col("texts")) & (F.col("texts") >= SPIKE_TIMES * F.greatest(F.col("others"), F.lit(0.5)))).drop("others", "open")
 
 
 def truncated(texts: DataFrame) -> DataFrame:
-    """Mark the texts (tab, rec_id, source, text) that lost their end: adds ``cut`` and ``at_limit``.
+    """Mark the texts (tab, rec_id, source, text) that lost their end: tab, rec_id, source, chars, bytes, blank, cut and
+    at_limit. The texts themselves are read once and not carried on.
 
     Per table and source, the histograms of lengths in characters and in bytes are searched for spikes. ``at_limit``
     tells that a text's length is such a spike (or up to 3 bytes below one in bytes, where a character didn't fit); it
     is a limit's work if the text is also unterminated. ``cut`` holds for texts whose prose stops inside a sentence,
     at a limit or, if cut in transfer, at any length, whatever mark, note or footer follows.
 
-    Null and blank texts and texts of figures are never cut. Null sources form one source of their own. Rows are kept
-    as they are, repeated ones too. An empty table gives an empty result. Only the four columns are read and returned.
+    Null and blank texts and texts of figures are never cut; a null text has null chars. Null sources form one source of
+    their own. Rows are kept as they are, repeated ones too. An empty table gives an empty result. Other columns are
+    not read.
     """
-    own = texts.select("tab", "rec_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    spikes = length_spikes(own)
+    measured = cut_lineage(
+        texts.select(
+            "tab", "rec_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
+            F.coalesce(~F.col("text").rlike(r"(?U)\S"), F.lit(True)).alias("blank"), unterminated(F.col("text")).alias("cut"),
+        )
+    )
     # one row for each source: its spike lengths, of which there are far fewer than lengths
-    limits = spikes.groupBy("tab", "source").agg(
+    limits = length_spikes(measured).groupBy("tab", "source").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("char_limits"),
         F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("byte_limits"),
     )
-    marked = lookup_join(own.withColumn("_s", F.struct("tab", "source")), limits.select(F.struct("tab", "source").alias("_s"), "char_limits", "byte_limits"), "_s").drop("_s")
-    size = F.octet_length("text")
-    at = F.array_contains("char_limits", F.length("text")) | F.exists("byte_limits", lambda n: (size <= n) & (size > n - 4))
-    return marked.withColumns({"cut": unterminated(F.col("text")), "at_limit": F.coalesce(at, F.lit(False))}).drop("char_limits", "byte_limits")
+    marked = lookup_join(measured.withColumn("_s", F.struct("tab", "source")), limits.select(F.struct("tab", "source").alias("_s"), "char_limits", "byte_limits"), "_s").drop("_s")
+    at = F.array_contains("char_limits", F.col("chars")) | F.exists("byte_limits", lambda n: (F.col("bytes") <= n) & (F.col("bytes") > n - 4))
+    return marked.withColumn("at_limit", F.coalesce(at, F.lit(False))).drop("char_limits", "byte_limits")
 
 
 def rates(marked: DataFrame) -> DataFrame:
@@ -93,10 +98,10 @@ def rates(marked: DataFrame) -> DataFrame:
     """
     once = marked.dropDuplicates(["tab", "rec_id"])
     return once.groupBy("tab", "source").agg(
-        F.count("text").alias("texts"),
+        F.count("chars").alias("texts"),
         F.count_if("cut").alias("cut"),
         F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"),
-        F.round(F.coalesce(F.try_divide(F.count_if("cut").cast("double"), F.count("text")), F.lit(0.0)), 6).alias("share"),
+        F.round(F.coalesce(F.try_divide(F.count_if("cut").cast("double"), F.count("chars")), F.lit(0.0)), 6).alias("share"),
     )
 
 
