@@ -45,6 +45,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Give a CPU-heavy stage enough tasks: repartition only where the scan yields fewer than the cluster has cores."""
+    """Give a CPU-heavy stage enough tasks: repartition where the rows come in fewer partitions than the cluster has
+    cores, or by a plan whose partitions are only known once its shuffles have run (asking would run them twice)."""
     least = least or df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("Adaptive"):
+        return df.repartition(2 * least)
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
