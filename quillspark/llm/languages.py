@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm.truncation import body
 from quillspark.operators.skew import lookup_join
-from quillspark.session import spread
+from quillspark.session import cut_lineage, spread
 from quillspark.sources.tables import image_key
 
 LANGUAGES = ("zh", "en", "de", "fr", "es")
@@ -27,7 +27,7 @@ LANGUAGES = ("zh", "en", "de", "fr", "es")
 DIMENSIONS = 1024
 
 #: Labelled texts that the prototypes are made of, at most; chosen by the hash of the text over all rows.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 
 #: How far the best language must lead the second (in cosine) for a sentence to count by itself.
 LEAST_LEAD = 0.03
@@ -236,8 +236,8 @@ class LanguageCheck:
     """Segments of texts with their languages, beside the declared ones."""
 
     def __init__(self, texts: DataFrame, sample_rows: int = SAMPLE_ROWS):
-        self.texts = texts.select("rec_id", "text", "declared")
-        labelled = self.texts.where("declared is not null and text is not null").select("text", "declared").orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+        self.texts = cut_lineage(texts.select("rec_id", "text", "declared").where("text is not null"))
+        labelled = self.texts.where("declared is not null").select("text", "declared").orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
         self.profiles = train([r.text for r in labelled], [r.declared for r in labelled])
 
     def segments(self) -> DataFrame:
@@ -267,7 +267,7 @@ class LanguageCheck:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
 
         # footers, notes and tags after the last sentence have no language of their own
-        return spread(self.texts.where("text is not null").select(F.col("rec_id").cast("long").alias("rec_id"), body(F.col("text")).alias("text"), "declared")).mapInArrow(run, schema)
+        return spread(self.texts.select(F.col("rec_id").cast("long").alias("rec_id"), body(F.col("text")).alias("text"), "declared")).mapInArrow(run, schema)
 
     def documents(self) -> DataFrame:
         """rec_id, declared, langs (of which there is a sentence), lang (of most letters), confidence."""
@@ -296,9 +296,10 @@ def declared_languages(annotations: DataFrame, images: DataFrame, tasks: DataFra
     rule = sources.select(F.col("name").alias("source"), F.lower(F.trim("lang_detect")).alias("rule")).where("source is not null").dropDuplicates(["source"])
     # of an image's rows the one with a task, a source and a file name counts, if they differ the least
     image = images.select(image_key(F.col("id")).alias("key"), "task_id", "source", "filename").where("key is not null").groupBy("key").agg(F.min("task_id").alias("task_id"), F.min("source").alias("source"), F.min("filename").alias("filename"))
-    known = lookup_join(lookup_join(image, rule, "source"), task, "task_id")
+    # source rules are a table of a few rows, which Spark sends to all tasks by its size; tasks may have a hot id
+    known = lookup_join(image.join(rule, "source", "left"), task, "task_id")
     by_rule = F.when(F.col("rule").startswith("fixed"), language_of_label(F.regexp_extract("rule", r"^fixed[-_ ]*(.+)$", 1))).when(F.col("rule") == "dirname", language_of_file(F.col("filename")))
-    named = known.select("key", F.coalesce("by_task", by_rule).alias("declared"))
+    named = cut_lineage(known.select("key", F.coalesce("by_task", by_rule).alias("declared")).where("declared is not null"))
     own = annotations.select(F.col("id").alias("rec_id"), image_key(F.col("image_id")).alias("key"), F.col("summary").alias("text"))
     return lookup_join(own, named, "key").select("rec_id", "text", "declared").dropDuplicates(["rec_id", "text"])
 
