@@ -77,7 +77,7 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     for piece, score, kind in pieces:
         body = _bytes_field(1, piece.encode()) + _number(2 << 3 | 5) + struct.pack("<f", score) + _varint_field(3, kind)
         model += _bytes_field(1, body)
-    model += _bytes_field(2, _varint_field(2, 2))  # trainer: BPE
+    model += _bytes_field(2, _varint_field(3, 2))  # trainer: BPE
     # normaliser: identity; no prefix, no collapsing, no escaping of white space
     model += _bytes_field(3, _bytes_field(1, b"identity") + _varint_field(3, 0) + _varint_field(4, 0) + _varint_field(5, 0))
     return bytes(model)
