@@ -19,6 +19,9 @@ from quillspark.session import cut_lineage, spread
 #: Labelled rows that the trees are fitted on, at most; chosen by the hash of doc_id over all documents.
 SAMPLE_ROWS = 20_000
 
+#: Fewer words than this, without a link or a tag, repeat nothing; such texts are never spam.
+LEAST_WORDS = 6
+
 #: Pages with this smoothed probability are spam.
 LIMIT = 0.5
 
@@ -26,7 +29,10 @@ LIMIT = 0.5
 #: is given beforehand.
 HOST_PULL, HOST_PRIOR = 0.4, 10.0
 
-FEATURES = ("prose", "links", "tags", "keywords", "again", "repeated", "digits", "figures", "quoted", "function")
+FEATURES = ("prose", "links", "tags", "keywords", "again", "repeated", "digits", "figures", "quoted", "function", "words")
+
+#: The trees see all but the number of words, so that a page is judged alike at every length.
+LEARNED = FEATURES[:-1]
 
 #: Function words of en, de, fr, es and frequent function characters of zh.
 FUNCTION_WORDS = frozenset(
@@ -118,6 +124,7 @@ def describe(text: str) -> tuple[list[float], list[str]]:
         figures / size,
         len(_KEY.findall(text)) * 10 / size,
         bound_all / max(1, words_all),
+        float(tokens),
     ], hosts
 
 
@@ -152,7 +159,7 @@ class SpamModel:
         x = {f: sample[f].to_numpy() for f in FEATURES}
         y = weak_label(x)
         known = y >= 0
-        matrix = np.stack([x[f] for f in FEATURES], axis=1) if len(sample) else np.zeros((0, len(FEATURES)))
+        matrix = np.stack([x[f] for f in LEARNED], axis=1) if len(sample) else np.zeros((0, len(LEARNED)))
         if known.any():
             self.trees = trees.fit(matrix[known], y[known].astype(float), seed=seed)
         else:
@@ -165,8 +172,9 @@ class SpamModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.stack([np.asarray(batch.column(3 + i)) for i in range(len(FEATURES))], axis=1) if batch.num_rows else np.zeros((0, len(FEATURES)))
-                own = trees.predict(model, x) if model else np.zeros(len(x))
+                x = {f: np.asarray(batch.column(3 + i)) for i, f in enumerate(FEATURES)}
+                own = trees.predict(model, np.stack([x[f] for f in LEARNED], axis=1)) if model and batch.num_rows else np.zeros(batch.num_rows)
+                own = np.where((x["words"] < LEAST_WORDS) & (x["links"] + x["tags"] == 0), 0.0, own)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own)], names=schema.names)
 
         scored = cut_lineage(self.features.mapInArrow(run, schema))
