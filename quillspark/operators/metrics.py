@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import ship_package
+
 WORD = "[a-z0-9]+|[一-鿿]"
 
 
@@ -62,6 +64,8 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     """pair, f: the longest common subsequence of words against both lengths."""
     import pandas as pd
 
+    ship_package(pairs.sparkSession)
+
     @F.pandas_udf("double")
     def score(a, b):
         import numpy as np
@@ -89,6 +93,8 @@ def meteor_exact(pairs: DataFrame) -> DataFrame:
     number of contiguous chunks. Without stems and synonyms, for which word lists would be needed."""
     import pandas as pd
 
+    ship_package(pairs.sparkSession)
+
     @F.pandas_udf("double")
     def score(a, b):
         def one(x, y):

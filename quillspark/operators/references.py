@@ -22,7 +22,8 @@ def references_of(df: DataFrame, tab: str, rec_id: str, ref: str, time: str) ->
         F.col(rec_id).cast("long").alias("rec_id"),
         image_key(F.col(ref)).alias("key"),
         own.alias("own_ms"),
-        F.coalesce(F.date_format(F.timestamp_millis(own), "yyyy-MM"), F.lit("unknown")).alias("period"),
+        # by days since 1970, so that the period doesn't depend on the session's time zone
+        F.coalesce(F.date_format(F.date_from_unix_date(F.floor(own / 86_400_000).cast("int")), "yyyy-MM"), F.lit("unknown")).alias("period"),
     ).where("key is not null")
 
 

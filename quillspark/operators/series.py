@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import ship_package
+
 YEAR_DAYS = 252.0
 
 
@@ -263,6 +265,8 @@ def peaks_and_troughs(df: DataFrame, least: int = 20) -> DataFrame:
     """Peaks and troughs of at least half a deviation's prominence, max(1, int(0.02 n)) rows apart."""
     import pandas as pd
 
+    ship_package(df.sparkSession)
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         v = pdf["value"].to_numpy(dtype=float)
@@ -317,6 +321,8 @@ def piecewise_segments(df: DataFrame, flat: float = 0.01) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    ship_package(df.sparkSession)
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         v, rows = pdf["value"].to_numpy(dtype=float), []

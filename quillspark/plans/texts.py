@@ -153,7 +153,7 @@ def x26_stars(spark, d):
 
 def x16_times(spark, d):
     rows = table(spark, d, "images").select("id", "created_at").distinct()
-    return rows.select("id", F.date_format(F.timestamp_millis("created_at"), "yyyy-MM-dd HH:mm:ss").alias("time"), "created_at")
+    return rows.select("id", F.date_format(F.to_utc_timestamp(F.timestamp_millis("created_at"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("time"), "created_at")
 
 
 def proj05_conversations(spark, d):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to the executors, once for each context, so that their Python workers can import it
+    wherever they run. The archive is served by the driver; nothing is read from a machine's own folders."""
+    context = spark.sparkContext
+    if getattr(context, "_quillspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quillspark-"), "quillspark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._quillspark_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
@@ -47,6 +67,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a CPU-heavy stage enough tasks: repartition where the rows come in fewer partitions than the cluster has
     cores, or by a plan whose partitions are only known once its shuffles have run (asking would run them twice)."""
+    ship_package(df.sparkSession)
     least = least or df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().executedPlan().nodeName().startswith("Adaptive"):
         return df.repartition(2 * least)

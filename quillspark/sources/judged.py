@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.session import cut_lineage
+from quillspark.session import cut_lineage, ship_package
 
 
 def judged(df: DataFrame, text: str, judge: Callable[[list], list], parallel: int = 8, tries: int = 3, wait: float = 0.5) -> DataFrame:
@@ -34,4 +34,5 @@ def judged(df: DataFrame, text: str, judge: Callable[[list], list], parallel: in
                             time.sleep(wait * 2**attempt)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string()), pa.array([error] * len(texts), pa.string())], names=schema.names)
 
+    ship_package(df.sparkSession)
     return cut_lineage(df.repartition(parallel).mapInArrow(run, schema))

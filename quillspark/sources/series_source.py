@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillspark.session import ship_package
+
 SCHEMA = "series string, d date, value double, error string"
 
 
@@ -84,6 +86,7 @@ def resolve(source: str) -> str:
 
 
 def fetch(spark: SparkSession, source: str, codes: list[str], start: str, end: str) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(SeriesSource)
     return spark.read.format("quill_series").option("transport", resolve(source)).option("codes", ",".join(codes)).option("start", start).option("end", end).load()
 
