@@ -29,6 +29,10 @@ DIMENSIONS = 1024
 #: Labelled texts that the prototypes are made of, at most; chosen by the hash of the text over all rows.
 SAMPLE_ROWS = 4_000
 
+#: Texts longer than this aren't taken for training (they are classified as a whole all the same), which bounds the
+#: sample's size.
+SAMPLE_LENGTH = 10_000
+
 #: How far the best language must lead the second (in cosine) for a sentence to count by itself.
 LEAST_LEAD = 0.03
 
@@ -237,7 +241,7 @@ class LanguageCheck:
 
     def __init__(self, texts: DataFrame, sample_rows: int = SAMPLE_ROWS):
         self.texts = cut_lineage(texts.select("rec_id", "text", "declared").where("text is not null"))
-        labelled = self.texts.where("declared is not null").select("text", "declared").orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+        labelled = self.texts.where(F.col("declared").isNotNull() & (F.length("text") <= SAMPLE_LENGTH)).select("text", "declared").orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
         self.profiles = train([r.text for r in labelled], [r.declared for r in labelled])
 
     def segments(self) -> DataFrame:

@@ -60,6 +60,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).report()
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of text classes, not of their members."""
+    return _overlap(spark, d).near().select(F.col("a").alias("class_evaluation"), F.col("b").alias("class_training"), F.round("containment", 6).alias("containment"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d).membership()
+
+
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
     return truncated(summaries_and_answers(table(spark, d, "annotations"), table(spark, d, "images"), table(spark, d, "messages")))
 
@@ -95,7 +104,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_rates, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
+    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_report, p4_links, p4_classes, p5_found, p5_rates, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
 }
 
 _TARGETS = r"""
