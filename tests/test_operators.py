@@ -165,3 +165,35 @@ def test_judges_are_retried_and_recorded(spark):
 def test_large_cross_products_are_refused(spark):
     with pytest.raises(ValueError):
         R.cross(spark.range(20), spark.range(3).toDF("b"), most=10)
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    from quillspark.sources.sqlite_source import read_sqlite
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table images (id text primary key, n integer, v real)")
+        db.execute("create table none (id integer)")
+        db.executemany("insert into images values (?, ?, ?)", [(f"i{k}", k, None if k % 2 else k / 2) for k in range(50)])
+    df = read_sqlite(spark, path, "images", 3)
+    assert df.dtypes == [("id", "string"), ("n", "bigint"), ("v", "double")]
+    assert df.count() == 50 and df.where("v is null").count() == 25 and df.agg(F.sum("n")).first()[0] == 1225
+    assert read_sqlite(spark, path, "none").count() == 0
+
+
+def test_streams(spark, tmp_path):
+    from quillspark.streaming import steps
+
+    log = f"{tmp_path}/log"
+    spark.createDataFrame([("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:05", 2), ("b", "2024-01-01 00:20:00", 3)], "k string, ts string, n int").write.json(log)
+    stream = lambda: steps.log_stream(spark, log, "k string, ts string, n int")
+    steps.drain(steps.only_new(stream(), "k", "1 hour"), f"{tmp_path}/c1", f"{tmp_path}/o1")
+    assert spark.read.parquet(f"{tmp_path}/o1").select("k").count() == 2
+    steps.drain(steps.counted_windows(stream(), "k", "10 minutes", "1 minute"), f"{tmp_path}/c2", f"{tmp_path}/o2", "complete")
+    assert sorted(r.rows for r in spark.read.parquet(f"{tmp_path}/o2").collect()) == [1, 2]
+    steps.drain(steps.latest_state(stream().select("k", "n"), "k", "n"), f"{tmp_path}/c3", f"{tmp_path}/o3", "complete")
+    spark.createDataFrame([("a", "2024-01-01 00:30:00", 9)], "k string, ts string, n int").write.mode("append").json(log)
+    steps.drain(steps.latest_state(stream().select("k", "n"), "k", "n"), f"{tmp_path}/c3", f"{tmp_path}/o3", "complete")
+    assert {r.k: r.n for r in spark.read.parquet(f"{tmp_path}/o3").collect()} == {"a": 9, "b": 3}
