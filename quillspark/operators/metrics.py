@@ -20,15 +20,20 @@ def tokens(text):
 
 
 def grams(words, n: int):
-    """All runs of n words, as texts."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Hashes of all runs of n words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def gram_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """pair, n, gram, p, r: how often each n-gram stands in the prediction and in the reference."""
-    side = lambda c, name: pairs.select("pair", tokens(F.col(c)).alias("w")).select("pair", F.inline(F.array(*[F.struct(F.lit(n).alias("n"), grams(F.col("w"), n).alias("g")) for n in range(1, most + 1)]))).select("pair", "n", F.explode("g").alias("gram"), F.lit(name).alias("side"))
-    both = side("prediction", "p").unionByName(side("reference", "r"))
-    return both.groupBy("pair", "n", "gram").agg(F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "r").alias("r"))
+    """pair, n, gram, p, r: how often each n-gram stands in the prediction and in the reference.
+
+    n-grams are 64-bit hashes. The texts are brought together by pair once, so that neither these counts nor sums by
+    pair shuffle the n-grams, of which there are some hundred times as many bytes.
+    """
+    words = pairs.select("pair", "prediction", "reference").repartition("pair").select("pair", tokens(F.col("prediction")).alias("p"), tokens(F.col("reference")).alias("r"))
+    sides = [F.struct(F.lit(n).alias("n"), F.lit(c == "p").alias("side"), grams(F.col(c), n).alias("g")) for n in range(1, most + 1) for c in ("p", "r")]
+    each = words.select("pair", F.inline(F.array(*sides))).select("pair", "n", "side", F.explode("g").alias("gram"))
+    return each.groupBy("pair", "n", "gram").agg(F.count_if("side").alias("p"), F.count_if(~F.col("side")).alias("r"))
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:
