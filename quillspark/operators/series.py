@@ -267,7 +267,7 @@ def peaks_and_troughs(df: DataFrame, least: int = 20) -> DataFrame:
 
     ship_package(df.sparkSession)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("d")
         v = pdf["value"].to_numpy(dtype=float)
         rows = []
@@ -323,7 +323,7 @@ def piecewise_segments(df: DataFrame, flat: float = 0.01) -> DataFrame:
 
     ship_package(df.sparkSession)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("d")
         v, rows = pdf["value"].to_numpy(dtype=float), []
         if len(v) >= 10:

@@ -198,7 +198,7 @@ SQL = {
     "a08_log_statistics": "select user_id, count(*) as runs, count(*) filter (event_type <> 'error') as success, round(count(*) filter (event_type <> 'error') / count(*)::double, 3) as rate, round(coalesce(avg(value) filter (value > 0), 0), 3) as mean_duration, count(*) as total_size from events group by 1",
     "a09_distinct": "select lower(trim(theme)) as theme, count(distinct indicator) as indicators, array_to_string(list_sort(list_distinct(list(shape))), ',') as shapes from task_definitions group by 1",
     "a13_scores": "select event_type, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, min(value) as min, max(value) as max, count(value) as n from events group by 1",
-    "a20_tiers": "select p_size % 3 + 1 as tier, count(*) as n, cast(sum(case when p_size % 3 + 1 <> 3 then 2 else 0 end) as bigint) as calls from part group by 1",
+    "a20_tiers": "select cast(p_size % 3 + 1 as bigint) as tier, count(*) as n, cast(sum(case when p_size % 3 + 1 <> 3 then 2 else 0 end) as bigint) as calls from part group by 1",
     "a34_first_extremes": "select l_returnflag, arg_min(l_orderkey, {'q': -l_quantity, 'k': l_orderkey}) as l_orderkey from lineitem group by 1",
     "a35_candidates": "with m as (select distinct on (message_id) * from messages), g as (select sample_id, count(*) as n, count(*) filter (content is null) as e from m group by 1) select cast(sum(n) as bigint) as total, round(avg(n), 4) as mean, cast(sum(e) as bigint) as errors from g",
     "w20_batches": "select c_custkey, (row_number() over (order by c_custkey) - 1) // 64 as batch from customer",

@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 
 _KEY = "lower(regexp_replace(image_id, '^\\s+|\\s+$', '', 'g'))"
 _HISTORY = f"with h as (select distinct on (id) id, nullif({_KEY}, '') as key, cast(version as bigint) as version from annotation_history) "
-_PAIRS = """with c as (select l_orderkey, l_linenumber as line, max(round(l_extendedprice / 1000, 1)) as score from lineitem group by all),
+_PAIRS = """with c as (select l_orderkey, cast(l_linenumber as bigint) as line, max(round(l_extendedprice / 1000, 1)) as score from lineitem group by all),
 b as (select l_orderkey, arg_max(line, {'s': score, 'l': -line}) as best, arg_min(line, {'s': score, 'l': line}) as worst, count(*) as candidates,
   round(max(score) - min(score), 1) as delta from c where score > 0 group by 1),
 p as (select * from b where best <> worst)"""

@@ -101,7 +101,7 @@ QUERIES = {f.__name__: f for f in (s01_csv, s02_csv_dates, s04_lines, s05_latest
 _KEY = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 
 SQL = {
-    "s01_csv": "select p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 2) as p_retailprice from part",
+    "s01_csv": "select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size, round(p_retailprice, 2) as p_retailprice from part",
     "s02_csv_dates": "select o_orderkey, cast(cast(o_orderdate as date) as varchar) as o_orderdate from orders",
     "s04_lines": "select event_id, user_id, props from events",
     "s05_latest_lines": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
@@ -113,5 +113,5 @@ SQL = {
     "k10_clean": "select p_partkey from part",
     "k11_soft_delete": "with i as (select " + _KEY.format(c="id") + " as key, min(lower(status)) as status from images where trim(id) <> '' group by 1) select key, case when key in (select " + _KEY.format(c="image_id") + " from messages where image_id is not null) then 'deleted' else status end as status from i",
     "t01_latest_state": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
-    "t02_only_new": "select member_id, case when member_id % 2 = 0 then 1 else 2 end as run from (select distinct member_id from split_members)",
+    "t02_only_new": "select member_id, cast(case when member_id % 2 = 0 then 1 else 2 end as bigint) as run from (select distinct member_id from split_members)",
 }

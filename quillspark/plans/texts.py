@@ -243,7 +243,7 @@ def a38_value_f1(spark, d):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and any(map(str.isdigit, f.__name__)) and f.__name__[0] != "_"}
 
 _FACTS = """with j as (select doc_id, unnest(from_json(json_extract(text, '$.facts'), '[{"id": "INTEGER", "type": "VARCHAR", "value": "DOUBLE"}]')) as f from documents where text like '{"subject"%' and json_valid(text)),
-f as (select doc_id, f.id as id, f.type as type, f.value as value, case when f.id % 5 = 4 then f.value * 2 when f.id % 3 = 2 then f.value * 1.01 else f.value end as reference,
+f as (select doc_id, cast(f.id as bigint) as id, f.type as type, f.value as value, case when f.id % 5 = 4 then f.value * 2 when f.id % 3 = 2 then f.value * 1.01 else f.value end as reference,
   case when f.id % 2 = 0 then f.value end as chart, case when f.id = 3 then 'incorrect' end as said from j),
 v as (select *, case when said = 'incorrect' then 'keyword' when abs(value - reference) <= abs(reference) * 0.03 then 'reference'
   when abs(value - chart) <= abs(chart) * 0.03 then 'chart' else 'none' end as how from f)"""
@@ -260,7 +260,7 @@ _GRAMS = (
     _PAIRS
     + """,
 w as (select pair, 'p' as side, regexp_extract_all(lower(prediction), '[a-z0-9]+|[一-鿿]') as w from pr union all select pair, 'r', regexp_extract_all(lower(reference), '[a-z0-9]+|[一-鿿]') from pr),
-e as (select pair, side, n, array_to_string(w[i:i + n - 1], ' ') as gram from w, (select unnest([1, 2, 3, 4]) as n), lateral (select unnest(range(1, len(w) - n + 2)) as i)),
+e as (select pair, side, n, array_to_string(w[i:i + n - 1], ' ') as gram from w, (select unnest([1::bigint, 2, 3, 4]) as n), lateral (select unnest(range(1, len(w) - n + 2)) as i)),
 g as (select pair, n, gram, count(*) filter (side = 'p') as p, count(*) filter (side = 'r') as r from e group by all)"""
 )
 _SECTION = "nullif(trim(regexp_replace(coalesce(nullif(trim(regexp_extract(text, '(?is)[【\\[][^】\\]]*(?:{n})[^】\\]]*[】\\]]([^【\\[]*)', 1)), ''), regexp_extract(text, '(?is)\\*\\*[^*]*(?:{n})[^*]*\\*\\*([^*]*)', 1)), '^\\s+|\\s+$', '', 'g')), '')"

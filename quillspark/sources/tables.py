@@ -16,7 +16,7 @@ def image_key(column):
 
     Blanks are all white space that Unicode knows, so a no-break space or a tab counts as well.
     """
-    trimmed = F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.lower(F.regexp_replace(column, r"(?U)^\s++|(?<!\s)\s++$", ""))
     return F.when(trimmed != "", trimmed)
 
 
