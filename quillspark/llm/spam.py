@@ -47,7 +47,7 @@ FUNCTION_WORDS = frozenset(
 IN_NAMES = frozenset("de des du del d l la le les in of to en a add y e".split())
 FUNCTION_HAN = frozenset("的了在是和与以后为将之到于从被所这该其有而但也都就若等及或由约并且已未至同比不没把让使对最")
 
-_LINK = re.compile(r"<a\s[^>]*>|</a>|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.I)
+_LINK = re.compile(r"<a\s[^<>]{0,2000}>|</a>|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.I)
 _HOST = re.compile(r"^(?:<a[^>]*?href=[\"']?)?(?:https?://)?(?:www\.)?([a-z0-9.-]+\.[a-z]{2,})", re.I)
 _TAG = re.compile(r"(?<!\S)[#＃][^\s#＃]+")
 _WORD = re.compile(r"[^\W\d_]+")

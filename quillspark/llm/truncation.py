@@ -9,25 +9,28 @@ from quillspark.operators.skew import lookup_join
 from quillspark.session import cut_lineage
 from quillspark.sources.tables import image_key
 
-#: What may follow a text's last sentence, or the place of a cut: white space, quotation marks and emphasis, ellipses,
-#: tags, short bracketed notes, a last line after a dash, a last line "label: a few words", closing brackets.
+#: What may follow a text's last sentence, or the place of a cut: a last line after a dash, a last line "label: a few
+#: words", white space, quotation marks and emphasis, ellipses, tags, short bracketed notes, closing brackets. It begins
+#: after a character that can't be part of it, so that long runs of blanks or marks are tried once and not from each of
+#: their places; it has 400 parts at most (a run of blanks or marks is one), which keeps the search linear.
 TAIL = (
-    r"(?:\n\s*[—–―-]+[^\n]{0,40}(?=\s*$)"
+    r"(?<![\s\"'’”“»«›‹」』*_`~|)\]）】］〕}>…⋯])"
+    r"(?:\n[^\S\n]*+[—–―-]+[^\n]{0,40}(?=\s*$)"
     r"|\n[^\n:：.。!?！？]{1,20}[:：][^\n.。!?！？]{1,80}(?=\s*$)"
-    r"|\s"
-    r"|[\"'’”“»«›‹」』*_`~|]"
-    r"|…|⋯|\.{3,}|(?<=[。．！？])\.+|\.{2}(?=\s*$)"
-    r"|(?<=\s)\#[\p{L}\p{N}_-]+"
+    r"|[^\S\n]++|\n"
+    r"|[\"'’”“»«›‹」』*_`~|]++"
+    r"|…++|⋯++|(?<!\.)\.{3,}+|(?<=[。．！？])\.++|(?<!\.)\.{2}(?=\s*$)"
+    r"|(?<=\s)\#[\p{L}\p{N}_-]++"
     r"|[(\[（【［〔{<][^()\[\]（）【】［］〔〕{}<>\n]{1,28}[)\]）】］〕}>]"
-    r"|[)\]）】］〕}>]"
-    r")++$"
+    r"|[)\]）】］〕}>]++"
+    r"){1,400}+$"
 )
 
 #: A final point that ends no sentence: that of a number after a Chinese word, or of a common abbreviation.
 FALSE_POINT = r"(?:\p{IsHan}\s?\d[\d,]*|(?:^|[\s\d])(?:Mio|Mrd|ca|bzw|vs|approx|Nr|No|St|etc))\.$"
 
 #: Prose has at least two words or four Chinese characters.
-PROSE = r"(?s)(?:\p{L}{2,}[^\p{L}]+\p{L}{2,}|(?:\p{IsHan}[^\p{IsHan}]*){4})"
+PROSE = r"(?s)(?:(?<!\p{L})\p{L}{2,}+[^\p{L}]++\p{L}{2}|(?:\p{IsHan}[^\p{IsHan}]*+){4})"
 
 #: A length is a spike if it has this many texts, and this many times the mean of the lengths up to NEAR away.
 SPIKE_TEXTS, SPIKE_TIMES, NEAR = 8, 4.0, 12
@@ -39,6 +42,7 @@ STOPS = (".", "。", "．", "!", "?", "！", "？")
 
 def body(text):
     """The text without what may follow its last sentence or a cut. Most texts end in a stop and are left as they are."""
+    text = F.regexp_replace(text, r"(?<!\s)\s++$", "")
     dots = F.endswith(text, F.lit("..")) | F.endswith(text, F.lit("。.")) | F.endswith(text, F.lit("．."))
     return F.when(F.right(text, F.lit(1)).isin(*STOPS) & ~dots, text).otherwise(F.regexp_replace(text, TAIL, ""))
 

@@ -84,3 +84,12 @@ def test_declared_languages(spark):
     notes = spark.createDataFrame([(1, " A ", "x"), (2, "b", "x"), (3, "C", "x"), (4, "d", "x"), (5, "none", "x"), (6, None, "x"), (1, " A ", "x")], "id bigint, image_id string, summary string")
     got = {r.rec_id: r.declared for r in L.declared_languages(notes, images, tasks, sources).collect()}
     assert got == {1: "en", 2: "de", 3: "zh", 4: None, 5: None, 6: None}
+
+
+def test_long_runs_take_no_long_time(profiles):
+    import time
+
+    began = time.time()
+    for r in (" ", "\n", ".", "*", "a", "一", "\"", "\n- x", "(", " / ", ":", "A"):
+        L.languages_of([f"Some words here{r * 60_000}and so on it goes."], profiles)
+    assert time.time() - began < 30

@@ -72,3 +72,12 @@ def test_trees_learn_a_rule_and_its_exception():
     model = trees.fit(x[:3000], y[:3000])
     assert ((trees.predict(model, x[3000:]) > 0.5) == (y[3000:] > 0.5)).mean() > 0.97
     assert trees.predict([], x).sum() == 0
+
+
+def test_long_runs_take_no_long_time():
+    import time
+
+    began = time.time()
+    for r in (" ", "\n", ".", "#", "a", "a.", "a-", "一", "<a ", "http://", "| ", '"k":', "a.b/"):
+        describe(f"Some words here{r * 60_000}and so on it goes.")
+    assert time.time() - began < 30

@@ -8,7 +8,7 @@ from quillspark.llm.truncation import length_spikes, rates, truncated, untermina
 WHOLE = [
     None, "", "  \n", "12.5% → 13.1% (4711)", "35,268 / 957.22", "All is well.", "All is well.\nUnits: index points", "All is well. #weekly12", "All is well.\n— Desk 12", "All is well. (end)",
     "All is well.\n[chart note 4]", "“All is well.”", "(All of this is well known here and everywhere.)", "**All is well.**", "一切都很好。", "一切都很好。\n单位：点", "一切都很好。\n【图注3】", "一切都很好．", "Alles ist gut.\n(Werte gerundet)",
-    "Wait for it...ok then!", "Is it so?", "FINE AS IT IS.",
+    "Wait for it...ok then!", "Is it so?", "FINE AS IT IS.", "All is well." + "\n" * 700, "All is well. \n \n\nUnits: index points  \n",
 ]
 CUT = [
     "All is we", "All is well. And then the", "All is well. And then the [more]", "All is well. And then…", "All is well. And then...", "All is well. And th\nUnits: index points", "All is well. And the #weekly3",
@@ -40,3 +40,14 @@ def test_spikes_and_rates(spark):
 
 def test_empty(spark):
     assert truncated(texts(spark).limit(0)).count() == 0 and rates(truncated(texts(spark).limit(0))).count() == 0
+
+
+def test_long_runs_take_no_long_time(spark):
+    import time
+
+    runs = [" ", "\n", ".", "*", "a", "一", "\"", "\n- x", "(", " #a", "\n ", "9", "…"]
+    rows = [(k, f"Some words here{r * 20_000}{end}") for k, r in enumerate(runs) for end in ("", "and so", ".")]
+    began = time.time()
+    df = spark.createDataFrame(rows, "k int, t string").select("k", unterminated(F.col("t")).alias("u"))
+    assert df.count() == len(df.collect()) == len(rows)
+    assert time.time() - began < 30
