@@ -77,6 +77,14 @@ def test_mismatches(spark):
     assert L.check_languages(df.limit(0)).mismatches().count() == 0
 
 
+def test_sample_reads_six_thousand_texts(spark, monkeypatch):
+    seen, train = [], L.train
+    monkeypatch.setattr(L, "train", lambda texts, labels: seen.append(len(texts)) or train(texts, labels))
+    df = spark.range(7_000).selectExpr("id rec_id", "concat('Most people in town ', id, ' had heard of it before.') text", "'en' declared")
+    L.check_languages(df)
+    assert seen == [6_000]
+
+
 def test_declared_languages(spark):
     images = spark.createDataFrame([("a", "t1", "s1", "x_de-DE.png"), ("b", None, "s1", "x_de-DE.png"), ("c", "t2", "s2", "x_de-DE.png"), ("d", None, None, "x_de-DE.png"), ("a", "t1", "s1", "x_de-DE.png")], "id string, task_id string, source string, filename string")
     tasks = spark.createDataFrame([("t1", "English"), ("t2", "auto"), ("t2", "auto")], "task_id string, language string")
