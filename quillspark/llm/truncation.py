@@ -73,7 +73,8 @@ def truncated(texts: DataFrame) -> DataFrame:
     Per table and source, the histograms of lengths in characters and in bytes are searched for spikes. ``at_limit``
     tells that a text's length is such a spike (or up to 3 bytes below one in bytes, where a character didn't fit); it
     is a limit's work if the text is also unterminated. ``cut`` holds for texts whose prose stops inside a sentence,
-    at a limit or, if cut in transfer, at any length, whatever mark, note or footer follows.
+    at a limit or, if cut in transfer, at any length, whatever mark, note or footer follows. It doesn't depend on the
+    spikes, as complete texts have such lengths too; a Latin text cut right behind a decimal point ("from 26.") is missed.
 
     Null and blank texts and texts of figures are never cut; a null text has null chars. Null sources form one source of
     their own. Rows are kept as they are, repeated ones too. An empty table gives an empty result. Other columns are
