@@ -19,7 +19,8 @@ from quillspark.session import cut_lineage, spread
 #: Labelled rows that the trees are fitted on, at most; chosen by the hash of doc_id over all documents.
 SAMPLE_ROWS = 20_000
 
-#: Fewer words than this, without a link or a tag, repeat nothing; such texts are never spam.
+#: Fewer words than this (Chinese ones are two characters), without a link or a tag, repeat nothing; such texts are never
+#: spam.
 LEAST_WORDS = 6
 
 #: Pages with this smoothed probability are spam.
@@ -53,6 +54,9 @@ _TAG = re.compile(r"(?<!\S)[#＃][^\s#＃]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _HAN_RUN = re.compile(r"[㐀-鿿]+")
+_HAN_PAIR = re.compile(r"[㐀-鿿]{1,2}")
+#: Chinese has no blanks, so a word of it is two characters, as in llm/overlap.py.
+_COUNTED = re.compile(r"[㐀-鿿]{1,2}|[^\W\d_㐀-鿿]+")
 _STOP = re.compile(r"(?<=[.!?])(?<!Mio\.)(?<!Mrd\.)\s+|(?<=[。！？．])")
 _ENDS = re.compile(r"[.。．!?！？;；:：…][\"'”»」』)\]）】*_\s]*$")
 _BARS = re.compile(r"(?:^|\s)[|·>»•→](?=\s|$)")
@@ -74,7 +78,8 @@ def _is_sentence(unit: str) -> bool:
         joined = sum(c in FUNCTION_HAN for c in han)
         gaps = len(re.findall(r"[㐀-鿿][ 　]+[㐀-鿿]", unit))
         stopped = unit.rstrip()[-1:] in "。！？．" or "，" in unit or "," in unit
-        return (stopped or joined >= 2) and gaps * 3 <= joined + 1 and len(han) / max(1, len(runs)) >= 2
+        pairs = _HAN_PAIR.findall(unit)
+        return (stopped or joined >= 2) and gaps * 3 <= joined + 1 and len(han) / max(1, len(runs)) >= 2 and len(set(pairs)) / len(pairs) >= 0.5
     if len(words) < 4:
         return False
     bound = [w in FUNCTION_WORDS for w in words]
@@ -111,7 +116,7 @@ def describe(text: str) -> tuple[list[float], list[str]]:
             if len(shape) > 3 and shape in seen and letters * 3 > solid:
                 again += solid
             seen.add(shape)
-    counts = Counter(w.lower() for w in _WORD.findall(bare))
+    counts = Counter(w.lower() for w in _COUNTED.findall(bare))
     tokens = sum(counts.values())
     return [
         prose / size,

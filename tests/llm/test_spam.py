@@ -50,6 +50,17 @@ def test_kinds(found):
     assert len(ids) == len(set(ids)) and set(ids) == set(range(120))
 
 
+def test_chinese_keywords_without_blanks(spark):
+    random.seed(9)
+    goods, said = ["手机壳", "充电器", "数据线", "耳机", "钢化膜"], ["这一年的粮食价格在夏天之后有所回升", "图中没有信息可以解释矿石价格为何下滑", "工资指数已经连续三十次上升", "需要留意去年出现的异常值"]
+    stuffed = ["手机壳批发" * 2000, "手机壳批发" * 40 + "。", "，".join(random.choice(goods) + "批发" for _ in range(60)), " ".join(g + "批发" for g in goods) * 9, "".join(random.choice(goods) + "批发" for _ in range(80))]
+    rows = [(k, "open", spam(random.choice(["words", "links", "products", "tags"]))) for k in range(60)] + [(100 + k, "desk", t) for k, t in enumerate(stuffed)]
+    rows += [(1000 + k, "desk", ham(random.choice(["prose", "linked", "table", "json", "list"]))) for k in range(200)]
+    rows += [(2000 + k, "desk", "。".join(random.sample(said, 1 + k % 4)) + "。") for k in range(40)]
+    got = {r.doc_id for r in spam_pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).found().collect()}
+    assert got == set(range(60)) | set(range(100, 105))
+
+
 def test_probabilities(found):
     rows = found.scores().collect()
     assert all(0 <= r.spam <= 1 for r in rows) and not {r.doc_id for r in rows} & {5000, 5001, 5002}
