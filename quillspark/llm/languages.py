@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,13 @@ DIMENSIONS = 1024
 #: accuracy on labelled texts outside the sample, see the README; more texts don't raise it.
 SAMPLE_ROWS = 6_000
 
+#: One in so many of these is kept for each declared language, or all its texts if it has fewer; the rest of the sample
+#: goes by hash alone.
+LANGUAGE_SHARE = 20
+
+#: Copies of a text that are trained on, at most, and only in the room that distinct texts leave.
+COPIES = 8
+
 #: Texts longer than this aren't taken for training (they are classified as a whole all the same), which bounds the
 #: sample's size.
 SAMPLE_LENGTH = 10_000
@@ -242,7 +249,13 @@ class LanguageCheck:
 
     def __init__(self, texts: DataFrame, sample_rows: int = SAMPLE_ROWS):
         self.texts = cut_lineage(texts.select("rec_id", "text", "declared").where("text is not null"))
-        labelled = self.texts.where(F.col("declared").isNotNull() & (F.length("text") <= SAMPLE_LENGTH)).select("text", "declared").orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+        usable = self.texts.where(F.col("declared").isNotNull() & (F.length("text") <= SAMPLE_LENGTH)).select("text", "declared", F.xxhash64("text").alias("_h"))
+        # only hashes are shuffled; of each language a task keeps sample_rows at most
+        rank = F.row_number().over(Window.partitionBy("declared").orderBy("_h"))
+        ranked = usable.groupBy("declared", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", rank).where(F.col("_k") <= sample_rows)
+        chosen = ranked.orderBy(F.col("_k") > max(1, sample_rows // LANGUAGE_SHARE), "_h", "declared").limit(sample_rows).drop("_k")
+        distinct = usable.join(F.broadcast(chosen), ["declared", "_h"]).distinct().orderBy("_h", "text", "declared").limit(sample_rows).collect()
+        labelled = [r for copy in range(COPIES) for r in distinct if r["_n"] > copy][:sample_rows]
         self.profiles = train([r.text for r in labelled], [r.declared for r in labelled])
 
     def segments(self) -> DataFrame:
@@ -312,7 +325,9 @@ def declared_languages(annotations: DataFrame, images: DataFrame, tasks: DataFra
 def check_languages(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageCheck:
     """Find the languages of texts (rec_id, text, declared) and of their segments, each with a confidence.
 
-    Prototypes are trained on at most ``sample_rows`` texts with a declared language, wrong and mixed ones included.
+    Prototypes are trained on at most ``sample_rows`` distinct texts with a declared language, wrong and mixed ones
+    included; each declared language has one in LANGUAGE_SHARE of them, or all its texts if it has fewer. Copies are
+    trained on only if there are fewer distinct texts than that.
     Languages without any such text can't be found. Null, blank and empty texts and texts without a letter have no
     segment; names, tickers, units, footers and stumps make no language. Whole texts are read, however long. Texts with
     the same rec_id are taken as one. An empty table gives empty results. Other columns are not read.

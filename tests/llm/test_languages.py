@@ -85,6 +85,19 @@ def test_sample_reads_six_thousand_texts(spark, monkeypatch):
     assert seen == [6_000]
 
 
+def test_copies_and_rare_languages_in_the_sample(spark, monkeypatch):
+    seen, train = [], L.train
+    monkeypatch.setattr(L, "train", lambda texts, labels: seen.extend(zip(texts, labels)) or train(texts, labels))
+    df = spark.range(400).selectExpr("id rec_id", "concat('Most people in town ', id, ' had heard of it before.') text", "'en' declared")
+    lowest = df.orderBy(F.xxhash64("text")).first().text
+    copies = spark.range(1000, 1900).select(F.col("id").alias("rec_id"), F.lit(lowest).alias("text"), F.lit("en").alias("declared"))
+    highest = sorted((r.text for r in spark.range(500).select(F.concat(F.lit("Die meisten Leute hatten schon davon gehört: "), "id", F.lit(".")).alias("text")).orderBy(F.xxhash64("text").desc()).limit(2).collect()))
+    rare = spark.createDataFrame([(5000 + k, t, "de") for k, t in enumerate(highest)], "rec_id bigint, text string, declared string")
+    check = L.check_languages(df.unionByName(copies).unionByName(rare), 60)
+    assert len(seen) == len(set(seen)) == 60 and {t for t, k in seen if k == "de"} == set(highest)
+    assert check.profiles.known[L.LANGUAGES.index("de")]
+
+
 def test_declared_languages(spark):
     images = spark.createDataFrame([("a", "t1", "s1", "x_de-DE.png"), ("b", None, "s1", "x_de-DE.png"), ("c", "t2", "s2", "x_de-DE.png"), ("d", None, None, "x_de-DE.png"), ("a", "t1", "s1", "x_de-DE.png")], "id string, task_id string, source string, filename string")
     tasks = spark.createDataFrame([("t1", "English"), ("t2", "auto"), ("t2", "auto")], "task_id string, language string")
