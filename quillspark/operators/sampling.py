@@ -26,11 +26,16 @@ def stratified(df: DataFrame, key: str, stratum: str, targets: DataFrame, seed:
     """Up to ``target`` rows of each stratum of targets (stratum, target); a short stratum gives all it has.
 
     Spark keeps only the first rows of each stratum in every task before the shuffle if the target is a constant; here
-    targets differ, so rows far beyond a stratum's share of draws are left out first.
+    targets differ, so rows far beyond a stratum's share of draws are left out first. Strata in which too few are left,
+    as many rows have one key, are ranked whole.
     """
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).join(targets, stratum)
-    rate = F.least(F.lit(1.0), (F.col("target") + 6 * F.sqrt(F.col("target").cast("double")) + 20) / F.col("_n"))
-    drawn = df.join(F.broadcast(counts.withColumn("_rate", rate)), stratum).withColumn("_u", place(seed, F.col(key))).where(unit(seed, F.col(key)) < F.col("_rate"))
+    draw = unit(seed, F.col(key))
+    known = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).join(targets, stratum)
+    rated = known.withColumn("_rate", F.least(F.lit(1.0), (F.col("target") + 6 * F.sqrt(F.col("target").cast("double")) + 20) / F.col("_n")))
+    left = df.join(F.broadcast(rated.select(stratum, "_rate")), stratum).where(draw < F.col("_rate")).groupBy(stratum).agg(F.count(F.lit(1)).alias("_left"))
+    enough = F.coalesce("_left", F.lit(0)) >= F.least("target", "_n")
+    counts = rated.join(left, stratum, "left").withColumn("_rate", F.when(enough, F.col("_rate")).otherwise(2.0)).drop("_left")
+    drawn = df.join(F.broadcast(counts), stratum).withColumn("_u", place(seed, F.col(key))).where(draw < F.col("_rate"))
     ranked = drawn.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_u", key)))
     return ranked.where("_k <= target").drop("_u", "_k", "_n", "_rate", "target")
 

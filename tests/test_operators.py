@@ -86,6 +86,12 @@ def test_results_do_not_depend_on_order_and_partitions(spark):
     assert SA.stratified(df, "id", "kind", targets).groupBy("kind").count().orderBy("kind").collect() == [("0", 5), ("1", 72)]
 
 
+def test_stratified_with_repeated_keys(spark):
+    df = spark.range(1000).selectExpr("if(id < 990, 7, id) id", "'a' kind")
+    targets = spark.createDataFrame([("a", 30)], "kind string, target int")
+    assert [SA.stratified(df, "id", "kind", targets, seed).count() for seed in range(6)] == [30] * 6
+
+
 def test_ordinals_are_gapless(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert all(r.v == r.ordinal for r in R.ordinals(df, "v").collect())
