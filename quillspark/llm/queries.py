@@ -11,7 +11,7 @@ from quillspark.llm.overlap import Overlap, cross_split_overlap
 from quillspark.llm.proportions import ProportionSample, proportion_sample
 from quillspark.llm.spam import spam_pages
 from quillspark.llm.tokens import token_ids
-from quillspark.llm.truncation import rates, summaries_and_answers, truncated
+from quillspark.llm.truncation import length_histogram, length_peaks, measured, rates, summaries_and_answers, truncated
 from quillspark.sources.tables import table
 
 
@@ -69,8 +69,12 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).membership()
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return summaries_and_answers(table(spark, d, "annotations"), table(spark, d, "images"), table(spark, d, "messages"))
+
+
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
-    return truncated(summaries_and_answers(table(spark, d, "annotations"), table(spark, d, "images"), table(spark, d, "messages")))
+    return truncated(_texts(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +85,11 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(_truncated(spark, d))
 
 
+def p5_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths at which a source has far too many texts, whole ones included."""
+    return length_peaks(length_histogram(measured(_texts(spark, d)))).select("tab", "source", "unit", F.col("length").cast("bigint").alias("length"), "texts")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -104,7 +113,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_report, p4_links, p4_classes, p5_found, p5_rates, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
+    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_report, p4_links, p4_classes, p5_found, p5_rates, p5_peaks, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
 }
 
 _TARGETS = r"""
@@ -128,7 +137,24 @@ counts as (
   from wanted w left join members m on w.target_id = m.target_id group by all)
 """
 
+_PEAKS = r"""
+with images_of as (
+  select lower(regexp_replace(id, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g')) as key, min(source) as source from images group by 1),
+texts as (
+  select 'annotations' as tab, coalesce(i.source, '') as source, summary as text from annotations a
+    left join images_of i on lower(regexp_replace(a.image_id, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g')) = i.key and i.key <> ''
+  union all select 'messages', coalesce(source, ''), content from messages where lower(trim(role)) = 'gpt'),
+lengths as (
+  select tab, source, unnest(['chars', 'bytes']) as unit, unnest([length(text), strlen(text)]) as length from texts
+  where regexp_matches(text, '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')),
+counts as (select tab, source, unit, length, count(*) as texts from lengths group by all),
+near as (
+  select *, (sum(texts) over (partition by tab, source, unit order by length range between 12 preceding and 12 following) - texts) / 24.0 as others from counts)
+select tab, source, unit, length, texts from near where texts >= 8 and texts >= 4 * greatest(others, 0.5)
+"""
+
 SQL = {
+    "p5_peaks": _PEAKS,
     "p3_found": _TARGETS + "select target_id from counts where available < need",
     "p3_sample": _TARGETS
     + """select config_name, target_id, task_id from (
