@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +18,22 @@ from quillspark.session import cut_lineage, spread
 #: Labelled rows that the trees are fitted on, at most; chosen by the hash of doc_id over all documents.
 SAMPLE_ROWS = 20_000
 
-#: Fewer words than this (Chinese ones are two characters), without a link or a tag, repeat nothing; such texts are never
-#: spam.
-LEAST_WORDS = 6
+#: Trees, and the share of the features that each of them sees.
+TREES, SEEN = 61, 0.7
 
-#: Pages with this smoothed probability are spam.
-LIMIT = 0.5
+#: A page is read as if it began with so many characters of prose, so that a few words by themselves prove nothing.
+GIVEN = 20
+
+#: Pages with this smoothed probability are spam. Lies where the scores have a gap: pages that mix spam with sentences get
+#: 0.4 to 0.6, since trees that see few of the telling features call them fine.
+LIMIT = 0.4
 
 #: How much a host's spam rate counts against the page's own evidence (in log odds), and how many average pages a host
 #: is given beforehand.
 HOST_PULL, HOST_PRIOR = 0.4, 10.0
 
-FEATURES = ("prose", "links", "tags", "keywords", "again", "repeated", "digits", "figures", "quoted", "function", "words")
-
-#: The trees see all but the number of words, so that a page is judged alike at every length.
-LEARNED = FEATURES[:-1]
+#: Shares of a page's characters, but for "repeated", "function" and "words".
+FEATURES = ("prose", "links", "tags", "keywords", "again", "repeated", "digits", "figures", "quoted", "function", "bars", "products", "series", "forms", "words")
 
 #: Function words of en, de, fr, es and frequent function characters of zh.
 FUNCTION_WORDS = frozenset(
@@ -48,7 +48,7 @@ FUNCTION_WORDS = frozenset(
 IN_NAMES = frozenset("de des du del d l la le les in of to en a add y e".split())
 FUNCTION_HAN = frozenset("的了在是和与以后为将之到于从被所这该其有而但也都就若等及或由约并且已未至同比不没把让使对最")
 
-_LINK = re.compile(r"<a\s[^<>]{0,2000}>|</a>|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.I)
+_LINK = re.compile(r"<a\s[^<>]*>|</a>|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.I)
 _HOST = re.compile(r"^(?:<a[^>]*?href=[\"']?)?(?:https?://)?(?:www\.)?([a-z0-9.-]+\.[a-z]{2,})", re.I)
 _TAG = re.compile(r"(?<!\S)[#＃][^\s#＃]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,89 +59,170 @@ _HAN_PAIR = re.compile(r"[㐀-鿿]{1,2}")
 _COUNTED = re.compile(r"[㐀-鿿]{1,2}|[^\W\d_㐀-鿿]+")
 _STOP = re.compile(r"(?<=[.!?])(?<!Mio\.)(?<!Mrd\.)\s+|(?<=[。！？．])")
 _ENDS = re.compile(r"[.。．!?！？;；:：…][\"'”»」』)\]）】*_\s]*$")
-_BARS = re.compile(r"(?:^|\s)[|·>»•→](?=\s|$)")
+_BARS = re.compile(r"(?<=\S\s)[|·>»•→](?=\s|$)")
 _KEY = re.compile(r"\"\w+\"\s*:")
+_GAP = re.compile(r"[㐀-鿿][ 　]+[㐀-鿿]")
+#: A symbol many times over is a rule or damage, and no content.
+_RULED = re.compile(r"([^\w\s])\1{7,}")
+#: The number or date that a line begins with, but for a bullet.
+_LEADING = re.compile(r"\W*(\d{1,4})(?:[-/年](\d{1,2}))?(?!\d)")
+#: A price with cents, or an article's code of three figures or more at one end of the line and a plain count at the
+#: other.
+_PRICE = re.compile(r"(?<![\d.,])\d{1,5}[.,]\d{2}(?![\d.,%])")
+_CODE = re.compile(r"(?<![\d.,])\d{3,}(?![\d.,%])")
+_NUMBERS = re.compile(r"\d[\d.,]*")
+_DIGITS = "0123456789"
+#: How the numbers that two lines of a table begin with differ, year and month or day.
+_STEPS = frozenset([(1, 0), (-1, 0), (0, 1), (0, -1), (1, -11), (-1, 11), (1, -9), (1, -3), (0, 3)])
 
 
 def _solid(text: str) -> int:
-    return len(text) - sum(map(str.isspace, text))
+    return len("".join(text.split()))
+
+
+def _digits(text: str) -> int:
+    return sum(map(text.count, _DIGITS))
 
 
-def _is_sentence(unit: str) -> bool:
-    """Whether a piece reads as a sentence: words joined by function words, not a row of names."""
-    han = _HAN.findall(unit)
-    words = [w.lower() for w in _WORD.findall(unit) if not _HAN.match(w)]
-    if len(_BARS.findall(unit)) > 1:
+def _bars(text: str) -> int:
+    """Marks that set off entries; not a bullet at the beginning, nor quotation marks."""
+    return len(_BARS.findall(text)) - (text.count(" »") if "«" in text else 0)
+
+
+def _is_sentence(unit: str, words: list[str], bars: int) -> bool:
+    """Whether a piece, with its words in small letters, reads as a sentence: words joined by function words, not a row
+    of names."""
+    if bars > 1:
+        return False
+    if not unit.isascii():
+        han = _HAN.findall(unit)
+        if han:
+            words = [w for w in words if not _HAN.match(w)]
+            if len(han) >= 6 and len(han) >= 2 * len(words):
+                joined = sum(c in FUNCTION_HAN for c in han)
+                stopped = unit.rstrip()[-1:] in "。！？．" or "，" in unit or ", " in unit
+                if not stopped and joined < 2:
+                    return False
+                pairs = _HAN_PAIR.findall(unit)
+                return len(_GAP.findall(unit)) * 3 <= (joined + 1 if stopped else 0) and len(han) / max(1, len(_HAN_RUN.findall(unit))) >= 2 and len(set(pairs)) / len(pairs) >= 0.5
+    if len(words) < 4 or len(set(words)) * 2 < len(words):
         return False
-    if len(han) >= 6 and len(han) >= 2 * len(words):
-        runs = _HAN_RUN.findall(unit)
-        joined = sum(c in FUNCTION_HAN for c in han)
-        gaps = len(re.findall(r"[㐀-鿿][ 　]+[㐀-鿿]", unit))
-        stopped = unit.rstrip()[-1:] in "。！？．" or "，" in unit or "," in unit
-        pairs = _HAN_PAIR.findall(unit)
-        return (stopped or joined >= 2) and gaps * 3 <= joined + 1 and len(han) / max(1, len(runs)) >= 2 and len(set(pairs)) / len(pairs) >= 0.5
-    if len(words) < 4:
+    bound = [w for w in words if w in FUNCTION_WORDS]
+    if not bound or len(bound) / len(words) < 0.13:
         return False
-    bound = [w in FUNCTION_WORDS for w in words]
     ended = bool(_ENDS.search(unit))
-    strong = any(b and w not in IN_NAMES for b, w in zip(bound, words)) or (ended and any(map(str.isdigit, unit)) and sum(bound) >= 3)
-    return strong and sum(bound) / len(words) >= 0.13 and len(set(words)) / len(words) >= 0.5 and (len(words) >= 10 or ended)
+    if not ended and len(words) < 10:
+        return False
+    return not IN_NAMES.issuperset(bound) or (ended and len(bound) >= 3 and _digits(unit) > 0)
+
+
+def _form(line: str) -> str:
+    """A line's outline: letters and figures left out."""
+    return "".join(c for c in _NUMBERS.sub("0", _WORD.sub("", line)) if not c.isspace())
 
 
 def describe(text: str) -> tuple[list[float], list[str]]:
     """The FEATURES of a whole text, and the hosts that it links to."""
-    links = _LINK.findall(text)
+    text = _RULED.sub(" ", text)
+    has_link = "<" in text or "/" in text or "www." in text
+    links = _LINK.findall(text) if has_link else []
     hosts = sorted({".".join(m.group(1).lower().split(".")[-2:]) for m in map(_HOST.match, links) if m})
-    size = max(1, _solid(text))
-    bare = _TAG.sub(" ", _LINK.sub(" ", text))
-    tags = sum(map(len, _TAG.findall(text)))
-    prose = keyword = again = figures = words_all = bound_all = 0
+    size = _solid(text) + GIVEN
+    bare = _LINK.sub(" ", text) if links else text
+    tags = _TAG.findall(bare) if "#" in bare or "＃" in bare else []
+    if tags:
+        bare = _TAG.sub(" ", bare)
+    prose = GIVEN
+    keyword = again = figures = words_all = bound_all = barred = products = series = 0
     seen: set[str] = set()
+    forms: dict[str, list[int]] = {}
+    before: tuple[int, int] | None = None
     for line in bare.splitlines():
+        whole = _solid(line)
+        if not whole:
+            continue
+        bars = _bars(line)
+        if bars > 2:
+            barred += whole
+        stepped = sold = False
+        if any(map(line.count, _DIGITS)):
+            first = _LEADING.match(line)
+            at = (int(first.group(1)), int(first.group(2) or 0)) if first else None
+            stepped = bool(at and before) and (at[0] - before[0], at[1] - before[1]) in _STEPS
+            before = at
+            sold = not stepped and len(_NUMBERS.findall(line)) <= 4 and bool(_CODE.search(line)) and (line[-1:].isdigit() or bars > 2 or bool(_PRICE.search(line)))
+        series += whole if stepped else 0
+        told = prose
+        form = _form(line)
+        if 1 < len(form) < 40:
+            forms.setdefault(form, []).append(whole)
         for unit in _STOP.split(line):
             solid = _solid(unit)
             if not solid:
                 continue
-            words = [w.lower() for w in _WORD.findall(unit)]
+            words = _WORD.findall(unit.lower())
             words_all += len(words)
-            bound_all += sum(w in FUNCTION_WORDS for w in words) + sum(c in FUNCTION_HAN for c in unit) / 2
+            bound_all += sum(w in FUNCTION_WORDS for w in words)
+            if not unit.isascii():
+                bound_all += sum(map(unit.count, FUNCTION_HAN)) / 2
             letters = sum(map(len, words))
-            if _is_sentence(unit):
+            if _is_sentence(unit, words, bars if unit is line else _bars(unit)):
                 prose += solid
             elif letters * 2 > solid and "\":" not in unit and "\": " not in unit:
                 keyword += solid
-            elif sum(map(str.isdigit, unit)) * 4 >= solid:
+            elif _digits(unit) * 4 >= solid:
                 figures += solid
             shape = " ".join(sorted(set(words)))
             if len(shape) > 3 and shape in seen and letters * 3 > solid:
                 again += solid
             seen.add(shape)
-    counts = Counter(w.lower() for w in _COUNTED.findall(bare))
-    tokens = sum(counts.values())
+        products += whole if sold and prose == told else 0
+    counted = _COUNTED.findall(bare.lower())
     return [
         prose / size,
         sum(map(len, links)) / size,
-        tags / size,
+        sum(map(len, tags)) / size,
         keyword / size,
         again / size,
-        1 - len(counts) / tokens if tokens else 0.0,
-        sum(map(str.isdigit, bare)) / size,
+        1 - len(set(counted)) / len(counted) if counted else 0.0,
+        _digits(bare) / size,
         figures / size,
         len(_KEY.findall(text)) * 10 / size,
         bound_all / max(1, words_all),
-        float(tokens),
+        barred / size,
+        products / size,
+        series / size,
+        sum(sum(n) for n in forms.values() if len(n) > 2) / size,
+        float(len(counted)),
     ], hosts
 
 
 def weak_label(x: dict[str, np.ndarray]) -> np.ndarray:
-    """1 for pages that are plainly spam, 0 for those that plainly aren't, -1 for the rest, which aren't learned from."""
-    junk = x["links"] + x["tags"] + x["keywords"]
-    stuffed = (x["repeated"] > 0.8) & (x["prose"] < 0.65) & (x["digits"] < 0.36) & (x["quoted"] < 0.05)
-    spam = stuffed | (x["prose"] < 0.3) & (junk > 0.6) & (x["quoted"] < 0.05) & (x["digits"] < 0.3) & ((x["links"] > 0.35) | (x["tags"] > 0.35) | (x["repeated"] > 0.5))
-    fine = (x["prose"] > 0.62) | ((x["digits"] > 0.35) & (x["repeated"] < 0.75) & (junk < 0.5)) | ((x["figures"] > 0.4) & (x["repeated"] < 0.7)) | (x["quoted"] > 0.1)
+    """1 for pages that one strict rule calls spam and none calls fine, 0 for the contrary, -1 for all others.
+
+    The rules are few and look at two or three features each; the trees learn from all features what such pages are like,
+    and decide the rest.
+    """
+    quiet, bare, junk = x["links"] + x["tags"] == 0, x["prose"] < 0.4, x["links"] + x["tags"]
+    stuffed = bare & (x["repeated"] > 0.5) & (x["keywords"] > 0.6) & (x["words"] >= 30) & (x["series"] < 0.05)
+    listed = bare & (junk > 0.5)
+    sold = bare & (x["products"] > 0.8) & (x["series"] < 0.05) & (x["forms"] > 0.5)
+    barred = bare & (x["bars"] > 0.6) & (x["figures"] < 0.1) & (x["digits"] < 0.1)
+    told = (junk < 0.05) & (x["prose"] > 0.97) & (x["words"] >= 60)
+    said = quiet & (x["prose"] > 0.99) & (x["words"] < 20)
+    tabled = quiet & (x["series"] > 0.5) & (x["products"] < 0.1)
+    coded = quiet & (x["quoted"] > 0.1)
+    short = quiet & (x["words"] < 6) & (x["digits"] < 0.3)
+    spam, fine = stuffed | listed | sold | barred, told | said | tabled | coded | short
     return np.where(spam & ~fine, 1, np.where(fine & ~spam, 0, -1))
 
 
+def learned(matrix: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+    """Trees fitted on those pages of a sample that have a weak label."""
+    y = weak_label({f: matrix[:, i] for i, f in enumerate(FEATURES)})
+    return trees.fit(matrix[y >= 0], y[y >= 0].astype(float), TREES, seed, SEEN) if (y >= 0).any() else []
+
+
 def page_features(documents: DataFrame) -> DataFrame:
     """doc_id, source, hosts and FEATURES of every page that isn't null or blank."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("hosts", T.ArrayType(T.StringType())), *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
@@ -161,14 +242,8 @@ class SpamModel:
     def __init__(self, documents: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 0):
         self.features = cut_lineage(page_features(documents))
         sample = self.features.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows).toPandas()
-        x = {f: sample[f].to_numpy() for f in FEATURES}
-        y = weak_label(x)
-        known = y >= 0
-        matrix = np.stack([x[f] for f in LEARNED], axis=1) if len(sample) else np.zeros((0, len(LEARNED)))
-        if known.any():
-            self.trees = trees.fit(matrix[known], y[known].astype(float), seed=seed)
-        else:
-            self.trees = []
+        matrix = np.stack([sample[f].to_numpy() for f in FEATURES], axis=1) if len(sample) else np.zeros((0, len(FEATURES)))
+        self.trees = learned(matrix, seed)
 
     def scores(self) -> DataFrame:
         """doc_id, source, own (by the trees alone) and spam (smoothed): the probabilities of every page."""
@@ -178,8 +253,7 @@ class SpamModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = {f: np.asarray(batch.column(3 + i)) for i, f in enumerate(FEATURES)}
-                own = trees.predict(model, np.stack([x[f] for f in LEARNED], axis=1)) if model and batch.num_rows else np.zeros(batch.num_rows)
-                own = np.where((x["words"] < LEAST_WORDS) & (x["links"] + x["tags"] == 0), 0.0, own)
+                own = trees.predict(model, np.stack([x[f] for f in FEATURES], axis=1)) if model and batch.num_rows else np.zeros(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own)], names=schema.names)
 
         scored = cut_lineage(self.features.mapInArrow(run, schema))
@@ -206,8 +280,8 @@ def spam_pages(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int =
     """Find pages that consist mostly of repeated keywords, links, products, tags or navigation words.
 
     Every whole text is described by content and link features. Bagged decision trees are fitted on at most
-    ``sample_rows`` pages with a plain weak label and give every page a probability, which is then moved towards the
-    spam rate of the other pages of the hosts it links to (or of its source, if it has no links).
+    ``sample_rows`` pages, of which those with a weak label count, and give every page a probability, which is then moved
+    towards the spam rate of the other pages of the hosts it links to (or of its source, if it has no links).
 
     Null and blank texts are never spam. Null sources form one source. Repeated doc_ids give one result row. Without
     a plain label in the sample (an empty table as well) nothing is spam. Other columns are not read.

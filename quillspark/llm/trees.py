@@ -37,21 +37,31 @@ def _grow(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray
     return at
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 15, seed: int = 0) -> list[np.ndarray]:
-    """Each tree is grown on rows drawn with replacement; the classes weigh the same in all."""
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Thresholds for one feature: up to BINS, each in the middle of the gap above a quantile, so that a gap between two
+    classes is cut in its middle."""
+    values = np.unique(values)
+    at = np.arange(len(values) - 1)
+    if len(at) > BINS:
+        gaps = np.argsort(values[:-1] - values[1:], kind="stable")[: BINS // 4]
+        at = np.union1d(np.linspace(0, len(values) - 2, BINS).astype(int), gaps)
+    return (values[at + 1] + values[at]) / 2
+
+
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 15, seed: int = 0, share: float = 1.0) -> list[np.ndarray]:
+    """Each tree is grown on rows drawn with replacement, and on this share of the features; the classes weigh the same
+    in all."""
     random = np.random.default_rng(seed)
-    edges = []
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        middles = (values[1:] + values[:-1]) / 2
-        edges.append(middles if len(middles) <= BINS else np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])))
+    edges = [_cuts(x[:, f]) for f in range(x.shape[1])]
     codes = np.stack([np.searchsorted(cuts, x[:, f], side="left") for f, cuts in enumerate(edges)], axis=1)
     ones = max(1e-9, float(y.mean()))
     weight = np.where(y > 0, 0.5 / ones, 0.5 / max(1e-9, 1 - ones))
+    none = np.zeros(0)
     out = []
     for _ in range(trees):
         nodes: list[list[float]] = []
-        _grow(codes, y, weight, random.integers(0, len(y), len(y)), edges, DEPTH, nodes)
+        seen = set(random.permutation(x.shape[1])[: max(1, round(share * x.shape[1]))].tolist())
+        _grow(codes, y, weight, random.integers(0, len(y), len(y)), [e if f in seen else none for f, e in enumerate(edges)], DEPTH, nodes)
         out.append(np.array(nodes))
     return out
 
