@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,22 +47,30 @@ def ship_package(spark: SparkSession) -> None:
     context._quillspark_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, one machine) a folder of our
-    own is used. The copy survives the loss of executors, and no later job computes ``df`` again.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only where none is set and all runs in
+    one process (tests, one machine) a folder of our own is used; on a cluster that is an error."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillspark-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there. The copy survives the loss of executors, and no later
+    job computes ``df`` again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for files of one run, in the folder that all executors share; on one machine in a folder of our own."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for files of one run, in the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
