@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.proportions import unit_draw
@@ -26,8 +26,7 @@ class Mixture:
         rows = self._weights(weights)
         part = documents.select("doc_id", "source", "text").where("source is not null and text is not null and text != ''")
         used = self.spark.createDataFrame([(source,) for source in sorted({r[1] for r in rows})], "source string")
-        counted = token_counts(part.join(F.broadcast(used), "source", "left_semi"), vocabulary=vocabulary).drop("text")
-        self.counts = cut_lineage(counted)
+        self.counts = cut_lineage(token_counts(part.join(F.broadcast(used), "source", "left_semi"), vocabulary=vocabulary, keep=["doc_id", "source"]))
         # documents of one source and length have one rate, so sums run over lengths
         self.lengths = cut_lineage(self.counts.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
         self.tilts = self._solve(rows, total_tokens)
@@ -122,48 +121,44 @@ class Mixture:
                     new = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else (low[k] + 2 * abs(low[k]) + 1 if high[k] == math.inf else high[k] - 2 * abs(high[k]) - 1)
                 mu[k] = new
 
+    def _params(self) -> DataFrame:
+        """One row for each mix and source; weights are a parameter table of at most MOST_WEIGHTS rows."""
+        return self.spark.createDataFrame([(m, s, float(mu) if math.isfinite(mu) else None, int(c), float(g)) for m, s, mu, c, g in self.tilts], "mix_name string, source string, mu double, cap int, goal double")
+
     def _rated(self) -> DataFrame:
         """Each document of each mix: the whole copies of its rate, and the rank of its rest in the rounding order."""
-        params = self.spark.createDataFrame([(m, s, float(mu) if math.isfinite(mu) else None, int(c), float(g)) for m, s, mu, c, g in self.tilts], "mix_name string, source string, mu double, cap int, goal double")
         exponent = F.col("mu") * F.col("n_tokens") / F.lit(self.scale)
         cap = F.col("cap").cast("double")
         rate = F.when(F.col("mu").isNull() | (exponent >= F.log(cap)), cap).otherwise(F.exp(F.least(exponent, F.lit(700.0))))
-        rated = self.counts.join(F.broadcast(params), "source").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int"))
+        rated = self.counts.join(F.broadcast(self._params()), "source").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int"))
         # one more copy goes to those with the least draw - rest; (draw - rest + 1) / 2 lies in [0, 1)
         place = (unit_draw(self.seed, F.col("mix_name"), F.col("doc_id")) - (F.col("rate") - F.col("whole")) + 1) / 2
         return rated.withColumn("place", F.when(F.col("whole") < F.col("cap"), place)).withColumns({"part": F.floor(F.col("place") * PARTS).cast("int"), "fine": F.floor(F.col("place") * PARTS * PARTS).cast("long")})
 
-    def _edges(self, rated: DataFrame) -> list:
-        """How far into the rounding order one more copy is given, so that tokens come nearest to the goal."""
+    def _edges(self, rated: DataFrame) -> DataFrame:
+        """mix_name, source, edge: how far into the rounding order one more copy is given, so that tokens come nearest to
+        the goal. At most PARTS rows for each mix and source are ordered, coarse parts first, then the parts of the one
+        in which the goal is passed; all in Spark."""
         on = ["mix_name", "source"]
-        base = {(r.mix_name, r.source): r.t for r in rated.groupBy(*on).agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("t")).collect()}
-        coarse = rated.where("part is not null").groupBy(*on, "part").agg(F.sum("n_tokens").alias("t")).collect()
-        goal = {(m, s): g for m, s, _, _, g in self.tilts}
-        edge, got = {}, {}
-        for key in goal:
-            have, at = float(base.get(key, 0)), PARTS
-            for r in sorted((r for r in coarse if (r.mix_name, r.source) == key), key=lambda r: r.part):
-                if have + r.t > goal[key]:
-                    at = r.part
-                    break
-                have += r.t
-            edge[key], got[key] = at, have
-        parts = self.spark.createDataFrame([(m, s, p) for (m, s), p in edge.items()], "mix_name string, source string, part int")
-        fine = rated.join(F.broadcast(parts), [*on, "part"], "left_semi").groupBy(*on, "fine").agg(F.sum("n_tokens").alias("t")).collect() if edge else []
-        out = []
-        for key in goal:
-            have, at = got[key], edge[key] * PARTS
-            for r in sorted((r for r in fine if (r.mix_name, r.source) == key), key=lambda r: r.fine):
-                if abs(have + r.t - goal[key]) > abs(have - goal[key]):
-                    break
-                have, at = have + r.t, r.fine + 1
-            out.append((*key, at))
-        return out
+        order = Window.partitionBy(*on)
+        goals = self._params().select(*on, "goal")
+        base = rated.groupBy(*on).agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("base"))
+        coarse = rated.where("part is not null").groupBy(*on, "part").agg(F.sum("n_tokens").alias("t"))
+        until = F.col("base") + F.sum("t").over(order.orderBy("part"))
+        placed = coarse.join(F.broadcast(base), on).join(F.broadcast(goals), on).withColumn("until", until)
+        # of each mix and source the first part that passes the goal, and the tokens before it
+        passed = cut_lineage(placed.where(F.col("until") > F.col("goal")).groupBy(*on).agg(F.min("part").alias("part"), F.min(F.col("until") - F.col("t")).alias("before"), F.first("goal").alias("goal")))
+        fine = rated.select(*on, "part", "fine", "n_tokens").join(F.broadcast(passed), [*on, "part"]).groupBy(*on, "fine", "before", "goal").agg(F.sum("n_tokens").alias("t"))
+        have = F.col("before") + F.sum("t").over(order.orderBy("fine"))
+        # sums only grow, so those that come nearer to the goal are the first ones
+        nearer = fine.withColumn("have", have).where(F.abs(F.col("have") - F.col("goal")) <= F.abs(F.col("have") - F.col("t") - F.col("goal"))).groupBy(*on).agg((F.max("fine") + 1).alias("edge"))
+        edge = F.coalesce(F.col("edge"), F.col("part").cast("long") * PARTS, F.lit(PARTS * PARTS))
+        return goals.select(*on).join(passed.select(*on, "part"), on, "left").join(nearer, on, "left").select(*on, edge.alias("edge"))
 
     def copies(self) -> DataFrame:
         """mix_name, doc_id, source, n_tokens, copies: every document used, and how often."""
         rated = self._rated()
-        edges = self.spark.createDataFrame(self._edges(rated), "mix_name string, source string, edge long")
+        edges = self._edges(rated)
         more = (F.col("fine").isNotNull() & (F.col("fine") < F.col("edge"))).cast("int")
         return rated.join(F.broadcast(edges), ["mix_name", "source"]).select("mix_name", "doc_id", "source", "n_tokens", (F.col("whole") + more).alias("copies")).where("copies > 0")
 
@@ -172,8 +167,6 @@ class Mixture:
         taken = self.copies().groupBy("mix_name", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("used"), F.max("copies").alias("most_copies"))
         there = self.lengths.groupBy("source").agg(F.sum("n").alias("documents"), F.sum(F.col("n") * F.col("n_tokens")).alias("source_tokens"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-        from pyspark.sql import Window
-
         whole = Window.partitionBy("mix_name")
         base = weights.select("mix_name", "source", F.col("target_weight").cast("double").alias("target_weight"), F.col("max_repeats").cast("int").alias("max_repeats")).dropDuplicates(["mix_name", "source"])
         joined = base.join(there, "source", "left").join(taken, ["mix_name", "source"], "left").select("mix_name", "source", "target_weight", "max_repeats", *map(zero, ("documents", "source_tokens", "used", "copies", "most_copies", "tokens")))

@@ -62,10 +62,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of text classes, not of their members."""
-    return _overlap(spark, d).near().select(F.col("a").alias("class_evaluation"), F.col("b").alias("class_training"), F.round("containment", 6).alias("containment"))
+    return _overlap(spark, d).near().select(F.hex("a").alias("class_evaluation"), F.hex("b").alias("class_training"), F.round("containment", 6).alias("containment"))
 
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership in classes by id, file name and text, and the links of each class."""
     return _overlap(spark, d).membership()
 
 
@@ -91,7 +92,7 @@ def p5_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return token_ids(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return token_ids(table(spark, d, "documents"), keep=["doc_id"])
 
 
 def p7_copies(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.session import spread
@@ -136,13 +137,16 @@ def shipped_model(df: DataFrame, vocabulary: str = VOCABULARY):
     return df.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(vocabulary)))
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, text: str, vocabulary: str, ids: bool) -> DataFrame:
+def _with_column(df: DataFrame, name: str, kind: T.DataType, text: str, vocabulary: str, ids: bool, keep: list[str] | None) -> DataFrame:
     if text not in df.columns:
         raise ValueError(f"no column {text}")
-    kept = df.drop(name) if name in df.columns and name != text else df
     if name == text:
         raise ValueError("the result may not replace the text")
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+    columns = [c for c in (df.columns if keep is None else keep) if c != name]
+    back = len(columns)
+    # the text goes to Python in the last place, and comes back only if it is kept
+    kept = df.select(*columns, F.col(text).alias("_text"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(name, kind)])
     model = shipped_model(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +154,28 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, text: str, vocabula
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                texts = part.column(back).to_pylist()
                 if ids:
                     made = pa.array(encoder.encode_all(texts), pa.list_(pa.int32()))
                 else:
                     made = pa.array(encoder.count_all(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:back], made], names=schema.names)
 
     return spread(kept).mapInArrow(run, schema)
 
 
-def token_ids(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_ids(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of each row's whole text.
 
     Null and empty texts give an empty list, blank texts are encoded as they are, strings that look like special
     tokens are ordinary text. Rows are neither dropped nor merged: repeated rows stay repeated, an empty table stays
-    empty. All other columns pass through; a column that already has the name ``ids`` is replaced. No shuffle, unless
-    the scan has fewer partitions than the cluster has cores.
+    empty. All columns pass through, or those of ``keep`` alone, which spares sending the texts back from Python; a column
+    that already has the name ``ids`` is replaced. No shuffle, unless the scan has fewer partitions than the cluster has
+    cores.
     """
-    return _with_column(df, ids, T.ArrayType(T.IntegerType(), False), text, vocabulary, True)
+    return _with_column(df, ids, T.ArrayType(T.IntegerType(), False), text, vocabulary, True, keep)
 
 
-def token_counts(df: DataFrame, text: str = "text", count: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(df: DataFrame, text: str = "text", count: str = "n_tokens", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """Add the number of tokens of each row's whole text; null and empty texts have 0. Otherwise as token_ids."""
-    return _with_column(df, count, T.LongType(), text, vocabulary, False)
+    return _with_column(df, count, T.LongType(), text, vocabulary, False, keep)
