@@ -28,10 +28,17 @@ def translated(value, names: dict[str, str]):
     return F.coalesce(F.try_element_at(table, value), value)
 
 
+#: The tokens of JSON.
+_JSON = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null|[{}\[\]:,])'
+
+
 def nested_value(text, key: str):
-    """The first plain value of the key in a JSON text, at any depth; null without one."""
-    found = F.regexp_extract(text, rf'"{key}"\s*:\s*"?([^",}}\]\s]+)', 1)
-    return F.when(found != "", found)
+    """The first plain value of the key in a JSON text, at any depth; null without one. The text is read token by token,
+    so what looks like the key inside a string is none."""
+    tokens = F.regexp_extract_all(text, F.lit(_JSON), F.lit(1))
+    values = F.transform(tokens, lambda t, i: F.when((t == f'"{key}"') & (F.get(tokens, i + 1) == ":"), F.get(tokens, i + 2)))
+    plain = F.filter(values, lambda v: v.isNotNull() & ~v.isin("{", "["))
+    return F.regexp_replace(F.get(plain, F.lit(0)), '^"|"$', "")
 
 
 def type_or_text(text):
@@ -81,8 +88,58 @@ def first_wins(df: DataFrame, keys: list[str], value: str, best: str, *ties: str
 
 
 def prefix_fallback(codes: DataFrame, known: DataFrame, seed: int = 0) -> DataFrame:
-    """code, chosen: the code if it is known, else a known one with the same first two letters, drawn by hash."""
-    pool = known.select(F.col("code").alias("other"), F.substring("code", 1, 2).alias("p"))
-    same = codes.withColumn("p", F.substring("code", 1, 2)).join(pool, "p", "left")
-    rank = F.struct((F.col("code") != F.col("other")).cast("int"), F.md5(F.concat_ws(":", F.lit(str(seed)), "code", "other")))
-    return same.groupBy("code").agg(F.min_by("other", rank).alias("chosen"))
+    """code, chosen: the code if it is known, else a known one with the same first two letters, drawn by hash: the one at
+    place md5(seed:code) in the order of md5(seed:other). Known codes are numbered once, so no code meets all of its
+    prefix."""
+    order = Window.partitionBy("p").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chosen")), "chosen")
+    pool = known.select(F.col("code").alias("chosen"), F.substring("code", 1, 2).alias("p")).distinct().withColumn("k", F.row_number().over(order) - 1)
+    sizes = pool.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "code")), 1, 8), 16, 10).cast("long")
+    asked = codes.select("code", F.substring("code", 1, 2).alias("p")).distinct().join(sizes, "p", "left").withColumn("k", F.pmod(draw, F.col("size")).cast("int"))
+    own = known.select("code", F.lit(True).alias("_own")).distinct()
+    drawn = asked.join(pool, ["p", "k"], "left").join(own, "code", "left")
+    return drawn.select("code", F.when(F.col("_own"), F.col("code")).otherwise(F.col("chosen")).alias("chosen"))
+
+
+def matched_facts(rows: DataFrame, key: str, predicted: str, reference: str) -> DataFrame:
+    """key, id, ref_id, value, reference: each predicted fact (id, ref_id, value) with the value of the record's own
+    reference fact (id, value) that its ref_id names; null where there is none. Of references with one id the first
+    counts."""
+    own = F.transform(F.col(predicted), lambda p: F.struct(p["id"].alias("id"), p["ref_id"].alias("ref_id"), p["value"].alias("value"), F.get(F.filter(F.col(reference), lambda r: r["id"] == p["ref_id"]), F.lit(0))["value"].alias("reference")))
+    return rows.select(key, F.inline(own))
+
+
+def zipped_lists(rows: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """key, place, first, second: two lists of a row side by side, as far as the shorter one goes."""
+    pairs = F.slice(F.arrays_zip(F.col(first).alias("a"), F.col(second).alias("b")), F.lit(1), F.least(F.size(first), F.size(second)))
+    return rows.select(key, F.posexplode(pairs).alias("place", "_p")).select(key, "place", F.col("_p.a").alias(first), F.col("_p.b").alias(second))
+
+
+def zipped(first: DataFrame, second: DataFrame, first_order: str, second_order: str) -> DataFrame:
+    """Two frames side by side by their rows' places in each one's order, as far as the shorter one goes."""
+    from quillspark.operators.relational import ordinals
+
+    return ordinals(first, first_order).join(ordinals(second, second_order), "ordinal")
+
+
+def with_preferences(sampled: DataFrame, preferences: DataFrame, key: str, status: str = "success") -> tuple[DataFrame, DataFrame]:
+    """The sampled rows whose preference has the status, and one row of counts: kept, without a preference, of another
+    status. Preferences have one row for a key; the result is ordered by its key only where it is written."""
+    joined = sampled.join(preferences, key, "left")
+    there = F.col("status").isNotNull()
+    counts = joined.agg(F.count_if(F.col("status") == status).alias("kept"), F.count_if(~there).alias("absent"), F.count_if(there & (F.col("status") != status)).alias("other"))
+    return joined.where(F.col("status") == status), counts
+
+
+def raw_or_summary(df: DataFrame, key: str, value: str, order: str, most: int = 200) -> DataFrame:
+    """key, form, payload: groups of up to ``most`` rows as an ordered JSON list, larger ones as a JSON summary, whose rows
+    are never gathered."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"))
+    small = df.join(sizes.where(F.col("n") <= most).select(key), key, "left_semi").groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda r: r["v"])).alias("payload"))
+    large = sizes.where(F.col("n") > most).select(key, F.to_json(F.struct("n", "min", "max", "mean")).alias("payload"))
+    return small.select(key, F.lit("raw").alias("form"), "payload").unionByName(large.select(key, F.lit("summary").alias("form"), "payload"))
+
+
+def with_fallbacks(fields: dict[str, object], source):
+    """A struct of a JSON object's fields, each with its default where it is absent."""
+    return F.struct(*[F.coalesce(F.get_json_object(source, f"$.{name}"), F.lit(default)).alias(name) for name, default in fields.items()])

@@ -60,19 +60,37 @@ def format_score(text, sections: list[str]):
     return F.when(text.isNull() | (F.trim(text) == ""), 0.0).otherwise(scored)
 
 
+def closing(text):
+    """What a cut JSON text lacks: a quotation mark, and the brackets that are still open, the inner ones first. Brackets
+    inside strings don't count."""
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s, c):
+        ends = s["quoted"] & ~s["escaped"] & (c == '"')
+        opened = F.when(~s["quoted"] & (c == "{"), F.concat(F.lit("}"), s["open"])).when(~s["quoted"] & (c == "["), F.concat(F.lit("]"), s["open"]))
+        closed = F.when(~s["quoted"] & c.isin("}", "]"), F.substring(s["open"], 2, 1_000_000))
+        return F.struct(
+            F.coalesce(opened, closed, s["open"]).alias("open"),
+            F.when(ends, False).when(~s["quoted"] & (c == '"'), True).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"),
+        )
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: F.concat(F.when(s["quoted"], '"').otherwise(""), s["open"]))
+
+
 def fenced_json(text):
-    """The content of the first fenced block, or else the outermost braces, with missing closing braces added."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(text, r"(?s)(\{.*)", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(braces))
-    open_ = F.length(body) - F.length(F.replace(body, F.lit("{"), F.lit("")))
-    closed = F.length(body) - F.length(F.replace(body, F.lit("}"), F.lit("")))
-    return F.when(body != "", F.concat(body, F.repeat(F.lit("}"), F.greatest(open_ - closed, F.lit(0)))))
+    """The content of the first fenced block, closed or not, or else all from the first brace or bracket on; what a cut
+    text lacks is added."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*+(.*?)(?:```|$)", 1)
+    braces = F.regexp_extract(text, r"(?s)([{\[].*)", 1)
+    body = F.regexp_replace(F.trim(F.when(fenced != "", fenced).otherwise(braces)), r"(?<![,:\s])[,\s]++$", "")
+    return F.when(body != "", F.concat(body, closing(body)))
 
 
 def bounded_score(text, low: int = 1, high: int = 100, default: int = 50):
     """A score cast to a whole number within bounds; the default where it is no number."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.floor(text.try_cast("double")).cast("int"))), F.lit(default))
+    whole = F.floor(text.try_cast("double")).cast("int")
+    return F.when(whole.isNull(), default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), whole)))
 
 
 def stem(path):
@@ -148,3 +166,21 @@ def declared_language(name):
     """zh, en, ... if the name contains the code with its country, else en."""
     found = F.regexp_extract(name, r"(zh|en|de|fr|es)-[A-Z]{2}", 1)
     return F.when(found != "", found).otherwise("en")
+
+
+def tokens_13a(text):
+    """Words as the usual BLEU tokeniser cuts them: punctuation set off, points and commas not within numbers."""
+    t = F.coalesce(text, F.lit(""))
+    for find, put in ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        t = F.regexp_replace(t, find, put)
+    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+
+
+def trend(change, flat: float = 1.0, strong: float = 10.0):
+    """A label for a change in percent."""
+    return F.when(change.isNull(), "unknown").when(F.abs(change) < flat, "flat").when(change >= strong, "strong rise").when(change > 0, "rise").when(change <= -strong, "strong fall").otherwise("fall")
+
+
+def scaled_reward(score, full: int):
+    """A score out of ``full`` (10 or 100) as a share, to four places."""
+    return F.round(score / F.lit(float(full)), 4)

@@ -77,15 +77,25 @@ def with_default(left: DataFrame, right: DataFrame, key: str, column: str, defau
     return lookup_join(left, rows.dropDuplicates([key]), key).withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
-def nested_history(parents: DataFrame, rows: DataFrame, key: str, order: list[str], fields: list[str], least_rows: int | None = None) -> DataFrame:
+def chunked_history(parents: DataFrame, rows: DataFrame, key: str, order: list[str], fields: list[str], size: int = 1000) -> DataFrame:
+    """key, chunk, history: the rows of each parent as ordered lists of up to ``size`` each, in order of chunk; one empty
+    list if there are none. No list grows with a hot parent: rows are range-partitioned by key and order, so that one
+    parent's rows may lie in many tasks, and chunks follow its rows' places in that order."""
+    placed = ordinals(rows.where(F.col(key).isNotNull()), key, *order)
+    first = placed.groupBy(key).agg(F.min("ordinal").alias("_first"))
+    cut = placed.join(first, key).withColumn("chunk", F.floor((F.col("ordinal") - F.col("_first")) / size))
+    packed = cut.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("history"))
+    joined = parents.join(packed, key, "left")
+    return joined.withColumns({"chunk": F.coalesce("chunk", F.lit(0)), "history": F.coalesce("history", F.expr("cast(array() as " + packed.schema["history"].dataType.simpleString() + ")"))})
+
+
+def nested_history(parents: DataFrame, rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """Add ``history``: the rows of each parent as an ordered list, empty if there are none.
 
-    The list of one parent must fit into one row; where a key may have more than ``least_rows`` rows, keep the rows flat
-    instead. Ordering is inside the list, so rows aren't sorted as a whole.
+    The list of one parent must fit into one row; where a parent may have any number of rows, take chunked_history.
+    Ordering is inside the list, so rows aren't sorted as a whole.
     """
     packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("history"))
-    if least_rows is not None:
-        packed = packed.where(F.size("history") <= least_rows)
     joined = parents.join(packed, key, "left")
     return joined.withColumn("history", F.coalesce("history", F.expr("cast(array() as " + packed.schema["history"].dataType.simpleString() + ")")))
 
@@ -143,6 +153,11 @@ def page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def piece(df: DataFrame, start: int, count: int, *order) -> DataFrame:
+    """``count`` rows from place ``start`` (from 0) of an order; each task keeps start + count at most."""
+    return df.orderBy(*order).offset(start).limit(count)
+
+
 def top_per_group(df: DataFrame, group: list[str], count: int, *order) -> DataFrame:
     """The first rows of each group; Spark cuts groups before the shuffle, so none is gathered whole."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= count).drop("_n")
@@ -165,6 +180,3 @@ def ordinals(df: DataFrame, *order) -> DataFrame:
     counts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
     before = F.broadcast(counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b", "_first"))
     return kept.join(before, "_p").withColumn("ordinal", (F.col("_m") - F.col("_first") + F.col("_b")).cast("long")).drop("_p", "_m", "_b", "_first")
-
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["hot_keys"]

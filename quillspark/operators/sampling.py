@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.skew import lookup_join
+
 
 def place(seed: int, *keys):
     """The sort key of a row: md5 of the seed and the keys."""
@@ -25,19 +27,26 @@ def uniform(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
 def stratified(df: DataFrame, key: str, stratum: str, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Up to ``target`` rows of each stratum of targets (stratum, target); a short stratum gives all it has.
 
-    Spark keeps only the first rows of each stratum in every task before the shuffle if the target is a constant; here
-    targets differ, so rows far beyond a stratum's share of draws are left out first. Strata in which too few are left,
-    as many rows have one key, are ranked whole.
+    A stratum's rows are ordered by hash. Rows are counted by the first six digits of it, and only those of the prefix in
+    which the last row lies, one in sixteen million, are ranked; no rows are moved but for those, and hot strata aren't
+    gathered.
     """
-    draw = unit(seed, F.col(key))
-    known = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).join(targets, stratum)
-    rated = known.withColumn("_rate", F.least(F.lit(1.0), (F.col("target") + 6 * F.sqrt(F.col("target").cast("double")) + 20) / F.col("_n")))
-    left = df.join(F.broadcast(rated.select(stratum, "_rate")), stratum).where(draw < F.col("_rate")).groupBy(stratum).agg(F.count(F.lit(1)).alias("_left"))
-    enough = F.coalesce("_left", F.lit(0)) >= F.least("target", "_n")
-    counts = rated.join(left, stratum, "left").withColumn("_rate", F.when(enough, F.col("_rate")).otherwise(2.0)).drop("_left")
-    drawn = df.join(F.broadcast(counts), stratum).withColumn("_u", place(seed, F.col(key))).where(draw < F.col("_rate"))
-    ranked = drawn.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_u", key)))
-    return ranked.where("_k <= target").drop("_u", "_k", "_n", "_rate", "target")
+    wanted = targets.groupBy(stratum).agg(F.max("target").alias("target"))
+    prefix = F.substring(place(seed, F.col(key)), 1, 6)
+    rows = lookup_join(df, wanted, stratum).where("target is not null").withColumn("_b", prefix)
+    # counts of hash prefixes tell which prefixes are taken whole, and in which one a stratum's last row lies
+    counts = rows.groupBy(stratum, "_b", "target").agg(F.count(F.lit(1)).alias("_c"))
+    coarse = counts.groupBy(stratum, F.substring("_b", 1, 3).alias("_a"), "target").agg(F.sum("_c").alias("_c"))
+    until = F.sum("_c").over(Window.partitionBy(stratum).orderBy("_a"))
+    edges = coarse.withColumn("_until", until).where((F.col("_until") - F.col("_c")) < F.col("target")).groupBy(stratum).agg(F.max("_a").alias("_last"), F.max_by(F.col("_until") - F.col("_c"), "_a").alias("_before"))
+    fine = counts.join(edges, stratum).where(F.substring("_b", 1, 3) == F.col("_last"))
+    inner = F.sum("_c").over(Window.partitionBy(stratum).orderBy("_b")) + F.col("_before")
+    border = fine.withColumn("_until", inner).where((F.col("_until") - F.col("_c")) < F.col("target")).groupBy(stratum).agg(F.max("_b").alias("_edge"), F.max_by(F.col("_until") - F.col("_c"), "_b").alias("_taken"))
+    told = lookup_join(rows, border, stratum)
+    whole = told.where(F.col("_b") < F.col("_edge"))
+    order = Window.partitionBy(stratum).orderBy(place(seed, F.col(key)), key)
+    last = told.where(F.col("_b") == F.col("_edge")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") + F.col("_taken") <= F.col("target"))
+    return whole.select(df.columns).unionByName(last.select(df.columns))
 
 
 def ratio_targets(ratios: DataFrame, stratum: str, total: int) -> DataFrame:
@@ -51,15 +60,19 @@ def ratio_targets(ratios: DataFrame, stratum: str, total: int) -> DataFrame:
 def split(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """Add ``split``: train for the first int(n x ratio) rows in the order of hashes, else val.
 
-    The border is found from counts of hash prefixes, and only the rows of one prefix are ranked.
+    The border is found from counts of hash prefixes; the rows before and behind it stay where they are, and only those
+    of its prefix, one in 65,536, are ranked.
     """
     rows = df.withColumn("_u", place(seed, F.col(key))).withColumn("_b", F.substring("_u", 1, 4))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     order = Window.orderBy("_b")
-    edges = counts.select("_b", (F.sum("_c").over(order) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_n"))
-    joined = rows.join(F.broadcast(edges), "_b")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) + F.col("_before")
-    return joined.withColumn("split", F.when(rank <= F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_u", "_b", "_before", "_n")
+    placed = counts.select("_b", F.sum("_c").over(order).alias("_until"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_n"), "_c")
+    edge = placed.where(F.col("_until") >= F.floor(F.col("_n") * ratio)).agg(F.min_by(F.struct(F.col("_b").alias("_edge"), (F.floor(F.col("_n") * ratio) - F.col("_until") + F.col("_c")).alias("_left")), "_b").alias("_e")).select("_e.*")
+    told = rows.crossJoin(F.broadcast(edge))
+    sure = told.where(F.col("_b") != F.col("_edge")).withColumn("split", F.when(F.col("_b") < F.col("_edge"), "train").otherwise("val"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key))
+    border = told.where(F.col("_b") == F.col("_edge")).withColumn("split", F.when(rank <= F.col("_left"), "train").otherwise("val"))
+    return sure.unionByName(border).drop("_u", "_b", "_edge", "_left")
 
 
 def expanded(quotas: DataFrame, item: str, total: int, seed: int = 0) -> DataFrame:
@@ -98,3 +111,22 @@ def affinity_distribution(chances: DataFrame, affinities: DataFrame, forbidden:
     scored = rows.withColumn("_p", F.col("p") * a).withColumns({"_all": F.sum("_p").over(w), "_raw": F.sum("p").over(w)})
     chance = F.when(F.col("_all") > 0, F.col("_p") / F.col("_all")).otherwise(F.col("p") / F.col("_raw"))
     return scored.withColumn("chance", chance).where("chance > 0").select(group, item, "chance")
+
+
+def grouped_pick(df: DataFrame, key: str, group: str, chances: DataFrame, item: str, seed: int = 0) -> DataFrame:
+    """Add ``item``: for each row the interval of its group's chances (group, item, chance) that its hash falls into. A
+    group's chances are a short list, packed into one row; groups without any give null."""
+    order = Window.partitionBy(group).orderBy(item)
+    upper = F.sum("chance").over(order) / F.sum("chance").over(Window.partitionBy(group))
+    packed = chances.where("chance > 0").select(group, F.struct(upper.alias("hi"), item).alias("_s")).groupBy(group).agg(F.array_sort(F.collect_list("_s")).alias("_w"))
+    rows = lookup_join(df.withColumn("_u", unit(seed, F.col(key))), packed, group)
+    hit = F.get(F.filter("_w", lambda w: F.col("_u") < w["hi"]), F.lit(0))[item]
+    return rows.withColumn(item, F.coalesce(hit, F.try_element_at("_w", F.lit(-1))[item])).drop("_u", "_w")
+
+
+def assigned(quotas: DataFrame, chances: DataFrame, affinities: DataFrame, forbidden: DataFrame, group: str, item: str, total: int, seed: int = 0) -> DataFrame:
+    """group, copy, item: rows by quota of the group (group, quota), each with an item drawn by chance (item, p) times the
+    group's affinity, without forbidden pairs."""
+    rows = expanded(quotas, group, total, seed).withColumn("_key", F.concat_ws(":", group, "copy"))
+    base = quotas.select(group).distinct().crossJoin(F.broadcast(chances))
+    return grouped_pick(rows, "_key", group, affinity_distribution(base, affinities, forbidden, group, item), item, seed).drop("_key")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import records, references, relational, samples, series, sources, texts
+from quillspark.plans import formats, judging, records, references, relational, samples, series, sources, texts
 
-MODULES = (references, series, relational, texts, samples, sources, records)
+MODULES = (references, series, relational, texts, samples, sources, records, formats, judging)
 
 
 def queries() -> dict:

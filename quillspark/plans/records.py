@@ -214,5 +214,5 @@ SQL = {
     "x25_not_negative": "select c_custkey, case when c_mktsegment in ('MACHINERY', 'BUILDING') then abs(c_acctbal) else c_acctbal end as v from customer",
     "x32_types": "select event_id, event_type as kind from events",
     "x34_sizes": "with p as (select p_partkey, p_size * 40 + 100 as w, p_size * 30 + 50 as h from part), f as (select *, least(1.0, sqrt(1000000.0 / (w * h))) as f from p) select p_partkey, cast(floor(w * f) as bigint) as width, cast(floor(h * f) as bigint) as height from f",
-    "s18_fallback": "with k as (select distinct substr(p_type, 1, 4) as o from part), c as (select distinct substr(c_mktsegment, 1, 4) as code from customer) select code, arg_min(o, {'s': cast(code <> o as int), 'h': md5('2:' || code || ':' || o)}) as chosen from c left join k on substr(o, 1, 2) = substr(code, 1, 2) group by code",
+    "s18_fallback": "with k as (select o, substr(o, 1, 2) as p, row_number() over (partition by substr(o, 1, 2) order by md5('2:' || o), o) - 1 as k, count(*) over (partition by substr(o, 1, 2)) as n from (select distinct substr(p_type, 1, 4) as o from part)), c as (select distinct substr(c_mktsegment, 1, 4) as code from customer) select code, case when code in (select o from k) then code else (select o from k where k.p = substr(code, 1, 2) and k.k = cast('0x' || substr(md5('2:' || code), 1, 8) as bigint) % k.n) end as chosen from c",
 }

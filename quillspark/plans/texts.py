@@ -8,9 +8,11 @@ from quillspark.functions import scores as V
 from quillspark.functions import text as X
 from quillspark.operators import metrics as M
 from quillspark.plans.rounding import rounded
-from quillspark.sources.tables import table
+from quillspark.sources.tables import image_key, table
 
 LAYOUT = ["版面", "Layout", "Aufbau", "Mise en page", "Diseño"]
+#: The sections of a text by name, with their headers in every language.
+PARTS = {"layout": LAYOUT, "figures": ["数值", "Figures", "Werte", "Valeurs", "Cifras"], "shape": ["形态", "Shape", "Form", "Forme", "Forma"], "reading": ["解读", "Reading", "Deutung", "Lecture", "Lectura"]}
 SECTIONS = ["版面|Layout|Aufbau|Mise en page|Diseño", "数值|Figures|Werte|Valeurs|Cifras", "形态|Shape|Form|Forme|Forma", "解读|Reading|Deutung|Lecture|Lectura"]
 
 
@@ -24,7 +26,7 @@ def x01_section(spark, d):
 
 
 def x02_without_thoughts(spark, d):
-    return _documents(spark, d).where("text like '%<think>%'").select("doc_id", F.md5(X.without_thoughts(F.col("text"))).alias("text"))
+    return _documents(spark, d).select("doc_id", F.md5(X.without_thoughts(F.col("text"))).alias("text"))
 
 
 def x03_plain_answer(spark, d):
@@ -46,7 +48,7 @@ def x05_number(spark, d):
 
 
 def x06_after_thoughts(spark, d):
-    return _documents(spark, d).where("text like '%</think>%'").select("doc_id", F.md5(F.regexp_replace(X.after_thoughts(F.col("text")), r"^\s+|\s+$", "")).alias("text"))
+    return _documents(spark, d).select("doc_id", F.md5(F.regexp_replace(X.after_thoughts(F.col("text")), r"^\s+|\s+$", "")).alias("text"))
 
 
 def x07_json_scores(spark, d):
@@ -195,49 +197,43 @@ def proj12_language(spark, d):
 
 
 def proj21_records(spark, d):
-    rows = table(spark, d, "events").limit(0).unionByName(table(spark, d, "events")).select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("record"))
-    return rows
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("record"))
 
 
-def _pairs(spark, d):
+def pairs(spark, d):
     """Answers against the summary of the same image."""
-    summary = table(spark, d, "annotations").where("summary is not null and image_id is not null").groupBy("image_id").agg(F.min_by("summary", F.struct("id", "summary")).alias("reference"))
-    answers = table(spark, d, "messages").where("role = 'gpt' and content is not null").select(F.col("message_id").alias("pair"), "image_id", F.col("content").alias("prediction")).distinct()
-    return answers.join(summary, "image_id").select("pair", "prediction", "reference")
+    key = image_key(F.col("image_id")).alias("key")
+    summary = table(spark, d, "annotations").select(key, "id", "summary").where("summary is not null and key is not null").groupBy("key").agg(F.min_by("summary", F.struct("id", "summary")).alias("reference"))
+    answers = table(spark, d, "messages").where("role = 'gpt' and content is not null").select(F.col("message_id").alias("pair"), key, F.col("content").alias("prediction")).distinct()
+    return answers.join(summary, "key").select("pair", "prediction", "reference")
 
 
 def a23_bleu(spark, d):
-    return rounded(M.corpus_bleu(_pairs(spark, d)), 6)
+    return rounded(M.corpus_bleu(pairs(spark, d)), 6)
 
 
 def a24_rouge_n(spark, d):
-    return rounded(M.rouge_n(_pairs(spark, d)), 6)
+    return rounded(M.rouge_n(pairs(spark, d)), 6)
 
 
 def a24_rouge_l(spark, d):
-    return rounded(M.rouge_l(_pairs(spark, d)), 6)
+    return rounded(M.rouge_l(pairs(spark, d)), 6)
 
 
 def a25_meteor(spark, d):
-    return rounded(M.meteor_exact(_pairs(spark, d)), 6)
+    return rounded(M.meteor_exact(pairs(spark, d)), 6)
 
 
 def a26_cider(spark, d):
-    return rounded(M.cider(_pairs(spark, d)), 4)
-
-
-def a28_sections(spark, d):
-    pairs = _documents(spark, d).select(F.col("doc_id").alias("pair"), X.section(F.col("text"), LAYOUT).alias("prediction"), X.section(F.col("text"), ["数值", "Figures", "Werte", "Valeurs", "Cifras"]).alias("reference"))
-    some = pairs.where("prediction is not null and reference is not null")
-    return rounded(M.rouge_n(some, 1).agg(F.count(F.lit(1)).alias("valid"), F.avg("f").alias("f")), 6)
+    return rounded(M.cider(pairs(spark, d)), 4)
 
 
 def a36_lengths(spark, d):
-    return rounded(_pairs(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("prediction")).alias("prediction"), F.avg(F.length("reference")).alias("reference")))
+    return rounded(pairs(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("prediction")).alias("prediction"), F.avg(F.length("reference")).alias("reference")))
 
 
 def a38_value_f1(spark, d):
-    return rounded(M.value_f1(_pairs(spark, d)), 6)
+    return rounded(M.value_f1(pairs(spark, d)), 6)
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and any(map(str.isdigit, f.__name__)) and f.__name__[0] != "_"}
@@ -253,9 +249,10 @@ s as (select p_partkey, kind, case kind when 'single' then case when len(chosen)
   when 'multiple' then greatest(0.0, coalesce(len(list_intersect(chosen, r)) / nullif(len(r)::double, 0), 0) - len(list_filter(chosen, lambda x: not list_contains(r, x))) / greatest(len(chosen), 1)::double)
   else case when abs(round(p_retailprice) - p_retailprice) <= 0.3 then 1.0 else 0.0 end end as score from l)"""
 _DIALOGUES = "with m as (select distinct on (message_id) message_id, sample_id, turn, role, coalesce(content, '') as v from messages) "
-_PAIRS = """with su as (select image_id, arg_min(summary, {'i': id, 's': summary}) as reference from annotations where summary is not null and image_id is not null group by 1),
-an as (select distinct message_id as pair, image_id, content as prediction from messages where role = 'gpt' and content is not null),
-pr as (select pair, prediction, reference from an join su using (image_id))"""
+_KEY = "nullif(lower(regexp_replace(image_id, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '')"
+_PAIRS = f"""with su as (select {_KEY} as key, arg_min(summary, {{'i': id, 's': summary}}) as reference from annotations where summary is not null group by 1),
+an as (select distinct message_id as pair, {_KEY} as key, content as prediction from messages where role = 'gpt' and content is not null),
+pr as (select pair, prediction, reference from an join su using (key) where key is not null)"""
 _GRAMS = (
     _PAIRS
     + """,
@@ -263,16 +260,17 @@ w as (select pair, 'p' as side, regexp_extract_all(lower(prediction), '[a-z0-9]+
 e as (select pair, side, n, array_to_string(w[i:i + n - 1], ' ') as gram from w, (select unnest([1::bigint, 2, 3, 4]) as n), lateral (select unnest(range(1, len(w) - n + 2)) as i)),
 g as (select pair, n, gram, count(*) filter (side = 'p') as p, count(*) filter (side = 'r') as r from e group by all)"""
 )
+_CUT = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '([{{-~\\[-` -&(-+:-@/])', ' \\1 ', 'g'), '([^0-9])([.,])', '\\1 \\2 ', 'g'), '([.,])([^0-9])', ' \\1 \\2', 'g'), '([0-9])(-)', '\\1 \\2 ', 'g'), '\\s+'), lambda w: w <> '')"
 _SECTION = "nullif(trim(regexp_replace(coalesce(nullif(trim(regexp_extract(text, '(?is)[【\\[][^】\\]]*(?:{n})[^】\\]]*[】\\]]([^【\\[]*)', 1)), ''), regexp_extract(text, '(?is)\\*\\*[^*]*(?:{n})[^*]*\\*\\*([^*]*)', 1)), '^\\s+|\\s+$', '', 'g')), '')"
 
 SQL = {
     "x01_section": "with s as (select doc_id, " + _SECTION.replace("{n}", "|".join(LAYOUT)) + " as part from documents) select doc_id, md5(part) as part, length(part) as size from s where part is not null",
-    "x02_without_thoughts": "select doc_id, md5(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g')) as text from documents where text like '%<think>%'",
+    "x02_without_thoughts": "select doc_id, md5(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g')) as text from documents",
     "x03_plain_answer": "select p_partkey, p_type || ' ' || p_size as answer from part",
     "x02_answer": "select p_partkey, p_brand as answer from part",
     "x04_letters": "select p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(p_name), '[A-N]'))), '') as letters from part",
     "x05_number": "select doc_id, try_cast(nullif(regexp_extract(translate(text, ',%', ''), '(-?[0-9]+\\.?[0-9]*)', 1), '') as double) as number from documents",
-    "x06_after_thoughts": "select doc_id, md5(regexp_replace(regexp_replace(text, '(?s)^.*</think>', ''), '^\\s+|\\s+$', '', 'g')) as text from documents where text like '%</think>%'",
+    "x06_after_thoughts": "select doc_id, md5(regexp_replace(regexp_replace(text, '(?s)^.*</think>', ''), '^\\s+|\\s+$', '', 'g')) as text from documents",
     "x07_json_scores": "select event_id, coalesce(greatest(1, least(80, cast(floor(try_cast(json_extract_string(props, '$.k') as double)) as bigint))), 50) as score from events",
     "x07_repaired_json": "select event_id, json_extract_string(props, '$.k') as k from events",
     "x10_folders": "with t as (select distinct on (task_id) * from task_definitions), n as (select task_id, '20240105_101112_' || coalesce(chart_type, 'x') || '_en-US_' || coalesce(theme, 'y') || '_' || task_id as n from t) select task_id, "
@@ -332,3 +330,33 @@ n as (select pair, list_transform(regexp_extract_all(prediction, '([0-9]+(?:\\.[
 q as (select pair, len(list_filter(a, lambda x: len(list_filter(b, lambda y: abs(x - y) <= 0.01 * abs(y))) > 0)) / nullif(len(a)::double, 0) as p, len(list_filter(b, lambda y: len(list_filter(a, lambda x: abs(x - y) <= 0.01 * abs(y))) > 0)) / nullif(len(b)::double, 0) as r from n)
 select pair, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f, coalesce(2 * p * r / nullif(p + r, 0), 0) >= 0.8 as enough from q""",
 }
+
+
+def text_oracle() -> dict[str, str]:
+    """SQL of queries elsewhere that compare texts."""
+    part = {name: _SECTION.replace("{n}", "|".join(heads)) for name, heads in PARTS.items()}
+    sides = " union all ".join(f"select pair, '{name}' as section, {cut} as p, {cut.replace('regexp_extract(text', 'regexp_extract(reference')} as r from d" for name, cut in part.items())
+    counted = """e as (select pair, section, side, n, array_to_string(w[i:i + n - 1], ' ') as gram from w, (select unnest([1::bigint, 2]) as n), lateral (select unnest(range(1, len(w) - n + 2)) as i)),
+g as (select pair, section, n, gram, count(*) filter (side = 'p') as p, count(*) filter (side = 'r') as r from e group by all),
+b as (select pair, section, n, sum(least(p, r))::double as hit, sum(p)::double as sp, sum(r)::double as sr from g group by all),
+q as (select *, coalesce(hit / nullif(sp, 0), 0) as precision, coalesce(hit / nullif(sr, 0), 0) as recall from b),
+f as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f from q)"""
+    words = "regexp_extract_all(lower({c}), '[a-z0-9]+|[一-鿿]')"
+    return {
+        "a28_sections": "with d as (select doc_id as pair, text, lead(text) over (partition by source, lang, doc_id // 1000 order by doc_id) as reference from documents where text is not null), s as (" + sides + "), v as (select * from s where p is not null and r is not null), "
+        + f"w as (select pair, section, 'p' as side, {words.format(c='p')} as w from v union all select pair, section, 'r', {words.format(c='r')} from v), " + counted
+        + ", m as (select section, round(avg(f) filter (n = 1), 6) as f1, round(avg(f) filter (n = 2), 6) as f2, round(avg(precision) filter (n = 1), 6) as precision, round(avg(recall) filter (n = 1), 6) as recall from f group by 1) select section, pairs, valid, f1, f2, precision, recall from (select section, count(*) as pairs, count(*) filter (p is not null and r is not null) as valid from s group by 1) left join m using (section)",
+        "a23_bleu_smoothed": _PAIRS + ", w as (select pair, 'p' as side, " + _CUT.format(t="prediction") + " as w from pr union all select pair, 'r', " + _CUT.format(t="reverse(lower(reference))") + """ from pr),
+e as (select pair, side, n, array_to_string(w[i:i + n - 1], chr(1)) as gram from w, (select unnest([1::bigint, 2, 3, 4]) as n), lateral (select unnest(range(1, len(w) - n + 2)) as i)),
+g as (select pair, n, gram, count(*) filter (side = 'p') as p, count(*) filter (side = 'r') as r from e group by all),
+b as (select n, sum(least(p, r))::double as hit, sum(p)::double as al, sum(r)::double as ref from g group by n),
+z as (select *, sum(case when hit = 0 then 1 else 0 end) over (order by n) as z from b),
+q as (select """ + ", ".join(f"max(case when hit = 0 then pow(0.5, z) else hit end / al) filter (n = {n}) as p{n}" for n in range(1, 5)) + """, max(al) filter (n = 1) as c, max(ref) filter (n = 1) as r from z)
+select round(p1, 8) as p1, round(p2, 8) as p2, round(p3, 8) as p3, round(p4, 8) as p4, round(case when c >= r then 1.0 else exp(1 - r / c) end, 8) as brevity, round(case when c >= r then 1.0 else exp(1 - r / c) end * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 8) as bleu from q""",
+        "e03_evaluators": _GRAMS + """,
+b as (select pair, sum(least(p, r))::double as hit, sum(p)::double as sp, sum(r)::double as sr from g where n = 1 group by all),
+v as (select pair, prediction, try_cast(nullif(regexp_extract(translate(prediction, ',%', ''), '(-?[0-9]+\\.?[0-9]*)', 1), '') as double) as a, try_cast(nullif(regexp_extract(translate(reference, ',%', ''), '(-?[0-9]+\\.?[0-9]*)', 1), '') as double) as t, (cast(regexp_matches(prediction, '(?i)Layout') as int) + cast(regexp_matches(prediction, '版面') as int)) / 2.0 as h from pr)
+select v.pair, round(cast(case when trim(prediction) = '' then 0.0 when length(prediction) between 500 and 3000 then least(h + 0.1, 1.0) when length(prediction) > 5000 then greatest(h - 0.3, 0.0) else h end as double), 6) as sections,
+  coalesce(case when t = 0 then case when abs(a) < 0.001 then 1.0 else 0.0 end when abs(a - t) <= abs(t) * 0.03 then 1.0 else case when a is null or t is null then 0.0 else 0.0 end end, 0.0)::double as values,
+  round(coalesce(2 * hit / nullif(sp + sr, 0), 0), 6) as overlap from v left join b using (pair)""",
+    }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def first_match(files: DataFrame, names: list[str]) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole files, stripped; empty ones are left out."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text"))
     return rows.where("text != ''")
 
 
@@ -65,25 +66,111 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """key, value (JSON) of several YAML or JSON files; a later file wins. Settings are small and read by the driver."""
+    """key, value (JSON) of several YAML or JSON files; a later file wins. Settings are small; Spark reads them, so they may
+    lie wherever it can read."""
     merged: dict = {}
     for path in paths:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        if path.endswith(".json"):
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        try:
             merged |= json.loads(text)
-        else:
+        except ValueError:
             import yaml
 
             merged |= yaml.safe_load(text) or {}
     return spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in merged.items()], "key string, value string")
 
 
+def texts_by_language(texts: DataFrame, wanted: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """folder, language, path, text: for each wanted (folder, language) the first file of that language's names that the
+    folder has, else the first of the others' names; folders without any are left out."""
+    found = texts.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path", "text")
+    every = [n for some in names.values() for n in some]
+    rank = F.lit(None).cast("int")
+    for language, own in names.items():
+        order = F.array(*[F.lit(n) for n in [*own, *[n for n in every if n not in own]]])
+        rank = F.when(F.col("language") == language, F.array_position(order, F.col("name")).cast("int")).otherwise(rank)
+    ranked = wanted.join(found, "folder").withColumn("_r", rank).where("_r > 0")
+    return ranked.groupBy("folder", "language").agg(F.min_by(F.struct("path", "text"), "_r").alias("_f")).select("folder", "language", "_f.path", "_f.text")
+
+
+def read_encoded(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """name, base64 of whole files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.base64("content").alias("base64"))
+
+
+def in_file_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records one a line, with the line's place in its file as ``place``. A file is read by one task, as only then lines
+    can be counted."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "line"))
+    return lines.where("trim(line) != ''").select("file", "place", F.from_json("line", schema).alias("_r")).select("file", "place", "_r.*")
+
+
 # --- sinks -------------------------------------------------------------------------------------------------------
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file_system(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
+
+
+def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
+    """A header and rows; ``index`` names a column that comes first."""
+    some = df.select(index, *[c for c in df.columns if c != index]) if index else df
+    some.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json_array(df: DataFrame, path: str, files: int | None = None) -> None:
+    """JSON documents that hold an array of records each, in UTF-8 with ISO dates: one for each task, or ``files`` in all.
+    Records become text in the JVM; each task only sets brackets and commas around them."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS", "dateFormat": "yyyy-MM-dd"}
+    rows = (df.coalesce(files) if files else df).select(F.to_json(F.struct("*"), options).alias("value"))
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if last is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{last},"])], names=["value"])
+                last = f"[{text}" if last is None else text
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if last is None else f"{last}]"])], names=["value"])
+
+    def joined(batches):
+        # few large batches instead of one for each record
+        some = []
+        for batch in run(batches):
+            some.append(batch.column(0)[0].as_py())
+            if len(some) == 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(some)], names=["value"])
+                some = []
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(some)], names=["value"])
+
+    rows.mapInArrow(joined, "value string").write.mode("overwrite").text(path)
+
+
+def write_in_steps(df: DataFrame, path: str, key: str, steps: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Put ``df`` through costly ``work`` in ``steps`` parts by the hash of its key. A part that is done is kept beside
+    ``path``, so a run that fails goes on where it ended; when all are done they become ``path`` and the parts are
+    deleted."""
+    spark, parts = df.sparkSession, f"{path}-parts"
+    for step in range(steps):
+        part = f"{parts}/{step}"
+        if not exists(spark, f"{part}/_SUCCESS"):
+            work(df.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)).write.mode("overwrite").parquet(part)
+    spark.read.parquet(*[f"{parts}/{step}" for step in range(steps)]).write.mode("overwrite").parquet(path)
+    remove(spark, parts)
+    return spark.read.parquet(path)
 
 
 def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
@@ -99,16 +186,25 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> DataFrame:
     return df.sparkSession.read.schema(counts.schema).json(f"{path}/manifest")
 
 
-def write_entities(df: DataFrame, path: str, entity: str) -> None:
-    """One folder for each entity; for few entities only, as each needs a file."""
-    df.repartition(entity).write.mode("overwrite").partitionBy(entity).json(path)
+def write_entities(df: DataFrame, path: str, entity: str, text: str | None = None, content: str | None = None) -> None:
+    """One folder for each entity, under ``meta`` with its other fields as JSON, under ``text`` with its text, under
+    ``copy`` with its content (binary, as base64 lines). For few entities only, as each needs a file."""
+    rows = df.repartition(entity)
+    rows.drop(*[c for c in (text, content) if c]).write.mode("overwrite").partitionBy(entity).json(f"{path}/meta")
+    if text:
+        rows.where(F.col(text).isNotNull()).select(entity, F.col(text).alias("value")).write.mode("overwrite").partitionBy(entity).text(f"{path}/text")
+    if content:
+        rows.where(F.col(content).isNotNull()).select(entity, F.base64(content).alias("value")).write.mode("overwrite").partitionBy(entity).text(f"{path}/copy")
 
 
 def merge_shards(spark: SparkSession, paths: list[str], schema: str, key: str, out: str) -> None:
-    """Shards of lines merged in key order, range-partitioned, so that no task holds all; absent shards are left out."""
-    existing = [p for p in paths if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    """Shards of lines merged in key order, range-partitioned, so that no task holds all; absent shards are left out, and
+    merged ones are removed once the result is there."""
+    existing = [p for p in paths if exists(spark, p)]
     if existing:
         read_lines(spark, existing, schema, strict=False).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(out)
+        for path in existing:
+            remove(spark, path)
 
 
 def write_manifest(spark: SparkSession, path: str, version: str, config: dict, tasks: DataFrame) -> None:

@@ -116,11 +116,11 @@ def roles(df: DataFrame) -> tuple[str | None, list[str]]:
     names = {c.lower(): c for c in df.columns}
     date = next((names[n] for n in ("date", "datetime", "time", "timestamp", "trade_date", "d", "ts") if n in names), None)
     date = date or next((c for c, t in df.dtypes if t.startswith(("date", "timestamp"))), None)
-    if date is None:
-        for c, t in df.dtypes:
-            if t == "string" and df.where(F.col(c).isNotNull()).limit(20).agg(F.count(F.col(c).try_cast("date")) == F.count(c)).first()[0] and df.limit(1).count():
-                date = c
-                break
+    texts = [c for c, t in df.dtypes if t == "string"]
+    if date is None and texts:
+        # one look at a few rows tells of all text columns
+        looks = df.limit(20).agg(*[((F.count(c) > 0) & (F.count(F.col(c).try_cast("date")) == F.count(c))).alias(f"_{k}") for k, c in enumerate(texts)]).first()
+        date = next((c for k, c in enumerate(texts) if looks[k]), None)
     numbers = [c for c, t in df.dtypes if t in ("double", "float", "bigint", "int", "smallint") or t.startswith("decimal")]
     return date, [c for c in (numbers or df.columns) if c != date]
 
@@ -132,7 +132,9 @@ def resolved_codes(indicators: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def synthetic_flow(spark: SparkSession, sources: list[str], targets: list[str], seed: int = 0) -> DataFrame:
-    """source, target, value: every combination with a number that depends on names and seed only."""
+    """source, target, value: every combination of two short lists with a number that depends on names and seed only."""
+    if len(sources) * len(targets) > 1_000_000:
+        raise ValueError("too many combinations")
     left = spark.createDataFrame([(s,) for s in sources], "source string")
     right = spark.createDataFrame([(t,) for t in targets], "target string")
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "target")), 1, 8), 16, 10).cast("double")

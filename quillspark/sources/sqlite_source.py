@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,21 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+#: Comparisons that a predicate may use.
+OPERATORS = ("=", "<>", "<", "<=", ">", ">=", "like", "is null", "is not null")
+
+
+def _condition(where: list) -> tuple[str, list]:
+    """SQL and values of a predicate: [column, operator, value] each, all of which must hold."""
+    parts, values = [], []
+    for column, operator, *value in where:
+        if operator not in OPERATORS:
+            raise ValueError(f"unknown operator {operator}; known: {', '.join(OPERATORS)}")
+        parts.append(f"{_quoted(column)} {operator}{' ?' if value else ''}")
+        values += value
+    return " and ".join(parts), values
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -28,6 +44,7 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.parts = options["path"], options["table"], int(options.get("parts", "4"))
+        self.condition, self.values = _condition(json.loads(options.get("where", "[]")))
 
     def partitions(self):
         with _open(self.path) as db:
@@ -39,7 +56,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         with _open(self.path) as db:
-            yield from db.execute(f"select * from {_quoted(self.table)} where rowid >= ? and rowid < ?", (partition.low, partition.high))
+            more = f" and {self.condition}" if self.condition else ""
+            yield from db.execute(f"select * from {_quoted(self.table)} where rowid >= ? and rowid < ?{more}", (partition.low, partition.high, *self.values))
 
 
 class SqliteSource(DataSource):
@@ -56,8 +74,10 @@ class SqliteSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, parts: int = 4) -> DataFrame:
-    """All rows of a table; an empty table gives an empty frame."""
+def read_sqlite(spark: SparkSession, path: str, table: str, parts: int = 4, where: list | None = None) -> DataFrame:
+    """The rows of a table, those that meet ``where`` ([column, operator, value] each) only; the database filters them. An
+    empty table gives an empty frame."""
+    _condition(where or [])
     ship_package(spark)
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("quill_sqlite").option("path", path).option("table", table).option("parts", parts).load()
+    return spark.read.format("quill_sqlite").option("path", path).option("table", table).option("parts", parts).option("where", json.dumps(where or [])).load()

@@ -49,3 +49,15 @@ def process_new(spark: SparkSession, every: DataFrame, done_path: str, key: str,
         todo = every
     work(todo).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)
+
+
+def staged(spark: SparkSession, source: str, schema: str, stages: list, path: str) -> None:
+    """Chained stages, each a stream over what the one before has written: every stage keeps its own place, so a stage
+    that fails or falls behind stops no other, and a later call goes on where each one ended."""
+    for k, work in enumerate(stages):
+        if k == 0:
+            rows = log_stream(spark, source, schema)
+        else:
+            before = f"{path}/stage-{k - 1}"
+            rows = spark.readStream.schema(spark.read.parquet(before).schema).parquet(before)
+        drain(work(rows), f"{path}/check-{k}", f"{path}/stage-{k}")
