@@ -45,30 +45,28 @@ def target_states(targets: DataFrame, key: str = "id", status: str = "status", c
     )
 
 
-def _verdict(groups: DataFrame) -> DataFrame:
-    """missing, deleted, late (all rows of the group), partly (some may be late) or ok, for each key and period."""
-    return groups.withColumn(
-        "verdict",
-        F.when(F.col("alive").isNull(), "missing")
-        .when(~F.col("alive"), "deleted")
-        .when(F.col("first_ms").isNull() | F.col("min_ms").isNull() | (F.col("min_ms") >= F.col("first_ms")), "ok")
-        .when((F.col("max_ms") < F.col("first_ms")) & (F.col("n") == F.col("timed")), "late")
-        .otherwise("partly"),
-    )
+def _verdicts(counted: DataFrame, states: DataFrame, heavy: bool) -> DataFrame:
+    """The orphan counts of each key and period, by reason: an anti-join finds those without a target ("missing"), a join
+    those whose targets are all deleted ("deleted") or later than all of the group ("late") or than some ("partly")."""
+    missing = counted.join(states.select("key"), "key", "left_anti").withColumns({"first_ms": F.lit(None).cast("long"), "verdict": F.lit("missing")})
+    late = F.when(F.col("min_ms") < F.col("first_ms"), F.when((F.col("max_ms") < F.col("first_ms")) & (F.col("n") == F.col("timed")), "late").otherwise("partly"))
+    there = counted.join(states, "key").withColumn("verdict", F.when(~F.col("alive"), "deleted").otherwise(late)).where("verdict is not null").drop("alive")
+    return missing.unionByName(there).withColumn("heavy", F.lit(heavy))
 
 
 class OrphanCheck:
-    """The parts of one check: references, their counts per key and period, and a verdict for each of those.
+    """The parts of one check: references, their counts per key and period, and a verdict for each group of orphans.
 
-    References are counted per table, key and period before anything is joined. Keys that hold at least HEAVY_SHARE of
-    all references (at most 1000 keys, whatever the size) are checked against a broadcast of their targets' states; the
-    others are joined by a shuffle of the counts, so no task gets more than one row for each key and period.
+    References are written once, and counted per table, key and period before anything is joined. Keys that hold at least
+    HEAVY_SHARE of all references (at most 1000 keys, whatever the size) are checked against a broadcast of their
+    targets' states; the others by shuffled joins of the counts, so no task gets more than one row for each key and
+    period. The orphan counts of both are united.
     """
 
     def __init__(self, references: list[DataFrame], targets: DataFrame, heavy_share: float = HEAVY_SHARE):
         every = reduce(DataFrame.unionByName, references)
-        self.rows = every.dropDuplicates(["tab", "rec_id", "key", "own_ms"])
-        counted = cut_lineage(
+        self.rows = cut_lineage(every.dropDuplicates(["tab", "rec_id", "key", "own_ms"]))
+        self.counted = cut_lineage(
             self.rows.groupBy("tab", "key", "period").agg(
                 F.count(F.lit(1)).alias("n"),
                 F.count("own_ms").alias("timed"),
@@ -76,31 +74,24 @@ class OrphanCheck:
                 F.max("own_ms").alias("max_ms"),
             )
         )
-        self.counted = counted
-        total = counted.agg(F.sum("n")).first()[0] or 0
-        heavy = F.broadcast(
-            counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, total * heavy_share)).select("key")
-        )
+        total = self.counted.agg(F.sum("n")).first()[0] or 0
+        heavy = cut_lineage(self.counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, total * heavy_share)).select("key"))
         states = target_states(targets)
-        heavy_states = F.broadcast(target_states(targets.withColumn("_key", image_key(F.col("id"))).join(heavy.withColumnRenamed("key", "_key"), "_key", "left_semi")))
-        by_broadcast = counted.join(heavy, "key", "left_semi").join(heavy_states, "key", "left")
-        by_shuffle = counted.join(heavy, "key", "left_anti").join(states, "key", "left")
-        self.groups = _verdict(by_broadcast).withColumn("heavy", F.lit(True)).unionByName(_verdict(by_shuffle).withColumn("heavy", F.lit(False)))
+        heavy_states = F.broadcast(target_states(targets.withColumn("_key", image_key(F.col("id"))).join(F.broadcast(heavy.withColumnRenamed("key", "_key")), "_key", "left_semi")))
+        hot, cold = self.counted.join(F.broadcast(heavy), "key", "left_semi"), self.counted.join(F.broadcast(heavy), "key", "left_anti")
+        self.groups = _verdicts(hot, heavy_states, True).unionByName(_verdicts(cold, states, False))
 
     def orphans(self) -> DataFrame:
-        """tab, rec_id, period, verdict: each orphan reference once."""
-        bad = cut_lineage(self.groups.where("verdict != 'ok'").select("tab", "key", "period", "verdict", "first_ms", "heavy"))
+        """tab, rec_id, period, verdict: each orphan reference once. An id that refers to two missing keys has one row
+        for each of its periods and verdicts."""
+        bad = cut_lineage(self.groups.select("tab", "key", "period", "verdict", "first_ms", "heavy"))
         on = ["tab", "key", "period"]
         late = (F.col("verdict") != "partly") | (F.col("own_ms") < F.col("first_ms"))
         heavy, light = bad.where("heavy").drop("heavy"), bad.where("not heavy").drop("heavy")
         # heavy groups are bounded by the number of heavy keys times periods; their rows are never shuffled
         keys = F.broadcast(heavy.select("key").distinct())
         found = self.rows.join(F.broadcast(heavy), on, "inner").unionByName(self.rows.join(keys, "key", "left_anti").join(light, on, "inner"))
-        return (
-            found.where(late)
-            .select("tab", "rec_id", "period", F.when(F.col("verdict") == "partly", "late").otherwise(F.col("verdict")).alias("verdict"))
-            .dropDuplicates(["tab", "rec_id"])
-        )
+        return found.where(late).select("tab", "rec_id", "period", F.when(F.col("verdict") == "partly", "late").otherwise(F.col("verdict")).alias("verdict")).distinct()
 
     def report(self) -> DataFrame:
         """Counts per table and period: references, orphans by reason, and the share of orphans."""

@@ -19,7 +19,7 @@ def _check(spark: SparkSession, d: str) -> OrphanCheck:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _check(spark, d).orphans().select("tab", "rec_id")
+    return _check(spark, d).orphans().select("tab", "rec_id").distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:

@@ -26,8 +26,10 @@ def brute(refs, images):
 
 def run(spark, refs, images, **more):
     check = orphan_references([references_of(spark.createDataFrame(refs, REFS), "a", "id", "image_id", "at")], spark.createDataFrame(images, IMAGES), **more)
-    rows = [(r.tab, r.rec_id) for r in check.orphans().collect()]
+    rows = [(r.tab, r.rec_id) for r in check.orphans().select("tab", "rec_id").distinct().collect()]
     assert len(rows) == len(set(rows))
+    periods = [tuple(r) for r in check.orphans().collect()]
+    assert len(periods) == len(set(periods))
     return set(rows), check
 
 
@@ -56,3 +58,16 @@ def test_same_time_is_not_late_and_seconds_are_milliseconds(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [("a", "ok", 1, None, None)])[0] == set()
     assert run(spark, [(1, "a", None, None, None), (2, None, None, None, None)], [])[0] == {("a", 1)}
+
+
+def test_an_id_with_two_keys_counts_for_both_periods(spark):
+    day = 86_400_000
+    found, check = run(spark, [(1, "x", 40.0 * day, "", True), (1, "y", 80.0 * day * 1000 / 1000, "", True)], [("z", "ok", 1, None, None)])
+    assert found == {("a", 1)} and check.orphans().count() == 2
+    assert sum(r.missing for r in check.report().collect()) == 2
+
+
+def test_missing_references_are_found_by_an_anti_join(spark):
+    refs, images = spark.createDataFrame([(1, "a", None, None, None)], REFS), spark.createDataFrame([("b", "ok", 1, None, None)], IMAGES)
+    plan = orphan_references([references_of(refs, "a", "id", "image_id", "at")], images).groups._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftOuter" not in plan
