@@ -41,6 +41,9 @@ COPIES = 8
 #: sample's size.
 SAMPLE_LENGTH = 10_000
 
+#: Runs whose products with the prototypes a worker keeps at most; then it begins anew (results don't change).
+KEPT_RUNS = 1_000_000
+
 #: How far the best language must lead the second (in cosine) for a sentence to count by itself.
 LEAST_LEAD = 0.03
 
@@ -114,43 +117,100 @@ def letters_only(segment: str) -> str:
     return f" {plain} " if plain else ""
 
 
-def bundle(segments: list[str]) -> np.ndarray:
-    """The vector of each segment (already letters_only): the sum of its bound runs of three letters."""
-    out = np.zeros((len(segments), DIMENSIONS), dtype=np.float32)
+def _runs(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of three letters of all segments (already letters_only) as numbers, and how many each segment has."""
     arrays = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) for s in segments]
     # scripts of thousands of letters would leave most runs unseen: from U+2E80 on, a block of 4096 is one letter
     arrays = [np.where(a >= 0x2E80, (a >> 12) + 0x110000, a) for a in arrays]
+    keys = [a[:-2] << 42 | a[1:-1] << 21 | a[2:] if len(a) > 2 else a[:0] for a in arrays]
+    return np.concatenate(keys) if keys else np.zeros(0, np.int64), np.fromiter(map(len, keys), np.int64, len(keys))
+
+
+def _bound(runs: np.ndarray) -> np.ndarray:
+    """The bound vector of each run: the first letter's rotated twice, the second's once, multiplied."""
+    mask = (1 << 21) - 1
+    out = np.empty((len(runs), DIMENSIONS), dtype=np.int8)
+    for low in range(0, len(runs), 4096):
+        part = runs[low : low + 4096]
+        out[low : low + 4096] = np.roll(_letters.of(part >> 42), 2, axis=1) * np.roll(_letters.of(part >> 21 & mask), 1, axis=1) * _letters.of(part & mask)
+    return out
+
+
+def bundle(segments: list[str]) -> np.ndarray:
+    """The vector of each segment (already letters_only): the sum of its bound runs of three letters."""
+    out = np.zeros((len(segments), DIMENSIONS), dtype=np.float32)
     for start in range(0, len(segments), 2000):
-        some = arrays[start : start + 2000]
-        keys = [a[:-2] << 42 | a[1:-1] << 21 | a[2:] if len(a) > 2 else a[:0] for a in some]
-        flat = np.concatenate(keys)
+        flat, sizes = _runs(segments[start : start + 2000])
         if not len(flat):
             continue
         runs, place = np.unique(flat, return_inverse=True)
-        mask = (1 << 21) - 1
-        bound = np.empty((len(runs), DIMENSIONS), dtype=np.int8)
-        for low in range(0, len(runs), 4096):
-            part = runs[low : low + 4096]
-            bound[low : low + 4096] = np.roll(_letters.of(part >> 42), 2, axis=1) * np.roll(_letters.of(part >> 21 & mask), 1, axis=1) * _letters.of(part & mask)
-        at = 0
-        for i, key in enumerate(keys):
-            if len(key):
-                out[start + i] = bound[place[at : at + len(key)]].sum(axis=0, dtype=np.int32)
-                at += len(key)
+        bound, at = _bound(runs), 0
+        for i, size in enumerate(sizes.tolist()):
+            if size:
+                out[start + i] = bound[place[at : at + size]].sum(axis=0, dtype=np.int32)
+                at += size
     return out
 
 
 class Profiles:
-    """Prototypes of the languages."""
+    """Prototypes of the languages, and how sharply confidence follows the cosines."""
 
-    def __init__(self, prototypes: np.ndarray, known: np.ndarray):
+    def __init__(self, prototypes: np.ndarray, known: np.ndarray, sharpness: float = 20.0):
         norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
-        self.prototypes, self.known = prototypes / np.maximum(norms, 1e-9), known
+        self.prototypes, self.known, self.sharpness = prototypes / np.maximum(norms, 1e-9), known, sharpness
+        self._keys, self._products = np.zeros(0, np.int64), np.zeros((0, len(LANGUAGES)), np.float32)
 
     def cosines(self, vectors: np.ndarray) -> np.ndarray:
         norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         return np.where(self.known, vectors @ self.prototypes.T / norms, -1.0)
 
+    def _of_runs(self, runs: np.ndarray) -> np.ndarray:
+        """Each run's products with the prototypes, kept for later batches; there are as many as runs of letters."""
+        new = np.setdiff1d(runs, self._keys, assume_unique=True)
+        if len(new):
+            made = np.concatenate([_bound(new[k : k + 4096]).astype(np.float32) @ self.prototypes.T for k in range(0, len(new), 4096)])
+            keys, products = np.concatenate([self._keys, new]), np.concatenate([self._products, made])
+            order = np.argsort(keys)
+            self._keys, self._products = keys[order], products[order]
+        found = self._products[np.searchsorted(self._keys, runs)]
+        if len(self._keys) > KEPT_RUNS:
+            self._keys, self._products = self._keys[:0], self._products[:0]
+        return found
+
+    def cosines_of(self, segments: list[str]) -> np.ndarray:
+        """The cosines of segments (already letters_only). A bundle is a sum, so its product with a prototype is the sum of
+        its runs' products, and no bundle needs to be formed. Its length is taken as that of as many independent vectors,
+        sqrt(DIMENSIONS x the sum of squared counts), which it meets within a few hundredths; a segment's languages are
+        ranked alike by either."""
+        out = np.full((len(segments), len(LANGUAGES)), -1.0)
+        for start in range(0, len(segments), 4000):
+            flat, sizes = _runs(segments[start : start + 4000])
+            if not len(flat):
+                continue
+            runs, place = np.unique(flat, return_inverse=True)
+            products = self._of_runs(runs)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pairs, counts = np.unique(owner * len(runs) + place, return_counts=True)
+            owner, place = pairs // len(runs), pairs % len(runs)
+            squares = np.bincount(owner, weights=counts.astype(float) ** 2, minlength=len(sizes))
+            sums = np.stack([np.bincount(owner, weights=counts * products[place, k], minlength=len(sizes)) for k in range(len(LANGUAGES))], axis=1)
+            some = sizes > 0
+            out[start : start + len(sizes)][some] = np.where(self.known, sums[some] / np.sqrt(DIMENSIONS * squares[some])[:, None], -1.0)
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_keys": self._keys[:0], "_products": self._products[:0]}
+
+
+def _sharpness(near: np.ndarray, labels: np.ndarray, known: np.ndarray) -> float:
+    """The factor that makes the labels likeliest, if a twentieth of them is arbitrary."""
+    own = near[np.arange(len(labels)), labels][:, None]
+    best = (-np.inf, 20.0)
+    for factor in (5.0, 7.0, 10.0, 14.0, 20.0, 28.0, 40.0, 56.0, 80.0):
+        share = 1 / np.exp(np.clip(factor * (near[:, known] - own), None, 50)).sum(axis=1)
+        best = max(best, (float(np.log(0.95 * share + 0.05 / len(LANGUAGES)).mean()), factor))
+    return best[1]
+
 
 def train(texts: list[str], labels: list[str], rounds: int = 3) -> Profiles:
     """Prototypes from labelled texts of which some are labelled wrongly or mixed.
@@ -177,6 +237,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 3) -> Profiles:
             near = profiles.cosines(vectors)
             own = near[np.arange(len(chosen)), chosen]
             chosen = np.where(near.max(axis=1) - own > 2 * LEAST_LEAD, near.argmax(axis=1), chosen)
+    profiles.sharpness = _sharpness(profiles.cosines(vectors), np.array(owner), profiles.known)
     return profiles
 
 
@@ -214,7 +275,7 @@ def languages_of(texts: list[str | None], profiles: Profiles) -> list[list[tuple
             where.append(i)
     plain = [letters_only(p) for p in pieces]
     distinct = {p: k for k, p in enumerate(dict.fromkeys(plain))}
-    near = profiles.cosines(bundle(list(distinct))) if distinct else np.zeros((0, len(LANGUAGES)))
+    near = profiles.cosines_of(list(distinct)) if distinct else np.zeros((0, len(LANGUAGES)))
     near = near[[distinct[p] for p in plain]] if plain else near
     order = np.sort(near, axis=1) if len(near) else near
     out: list[list[tuple]] = [[] for _ in texts]
@@ -222,7 +283,7 @@ def languages_of(texts: list[str | None], profiles: Profiles) -> list[list[tuple
         if not plain[k] or order[k, -1] <= 0:
             continue
         best = int(near[k].argmax())
-        exact = 1.0 / float(np.exp(20 * (near[k] - near[k, best])).sum())
+        exact = 1.0 / float(np.exp(profiles.sharpness * (near[k] - near[k, best])).sum())
         alone = is_sentence(pieces[k]) and order[k, -1] - order[k, -2] >= LEAST_LEAD
         out[i].append((LANGUAGES[best], exact, int(alone), len(plain[k]) - 2))
     return [_merge(row) for row in out]
@@ -245,16 +306,23 @@ def _merge(row: list[tuple]) -> list[tuple]:
 
 
 class LanguageCheck:
-    """Segments of texts with their languages, beside the declared ones."""
+    """Segments of texts with their languages, beside the declared ones.
 
-    def __init__(self, texts: DataFrame, sample_rows: int = SAMPLE_ROWS):
-        self.texts = cut_lineage(texts.select("rec_id", "text", "declared").where("text is not null"))
-        usable = self.texts.where(F.col("declared").isNotNull() & (F.length("text") <= SAMPLE_LENGTH)).select("text", "declared", F.xxhash64("text").alias("_h"))
+    Texts go from the scan to Python and no further: what is shuffled is one small row for each segment, and keys, hashes
+    and labels for the training sample.
+    """
+
+    def __init__(self, texts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
+        self.texts = texts.select(F.col("rec_id").cast("long").alias("rec_id"), "key", "text", F.xxhash64("text").alias("_h")).where("text is not null")
+        self.labels = labels.select("key", "declared").where("key is not null and declared is not null")
+        told = self.texts.where((F.length("text") <= SAMPLE_LENGTH) & F.col("key").isNotNull()).select("key", "_h")
+        usable = lookup_join(told, self.labels, "key").where("declared is not null").select("declared", "_h")
         # only hashes are shuffled; of each language a task keeps sample_rows at most
         rank = F.row_number().over(Window.partitionBy("declared").orderBy("_h"))
         ranked = usable.groupBy("declared", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", rank).where(F.col("_k") <= sample_rows)
-        chosen = ranked.orderBy(F.col("_k") > max(1, sample_rows // LANGUAGE_SHARE), "_h", "declared").limit(sample_rows).drop("_k")
-        distinct = usable.join(F.broadcast(chosen), ["declared", "_h"]).distinct().orderBy("_h", "text", "declared").limit(sample_rows).collect()
+        chosen = cut_lineage(ranked.orderBy(F.col("_k") > max(1, sample_rows // LANGUAGE_SHARE), "_h", "declared").limit(sample_rows).drop("_k"))
+        sample = self.texts.where(F.length("text") <= SAMPLE_LENGTH).join(F.broadcast(chosen.select("_h").distinct()), "_h", "left_semi").select("text", "_h").distinct()
+        distinct = sample.join(F.broadcast(chosen), "_h").orderBy("_h", "text", "declared").limit(sample_rows).collect()
         labelled = [r for copy in range(COPIES) for r in distinct if r["_n"] > copy][:sample_rows]
         self.profiles = train([r.text for r in labelled], [r.declared for r in labelled])
 
@@ -264,7 +332,8 @@ class LanguageCheck:
         schema = T.StructType(
             [
                 T.StructField("rec_id", T.LongType()),
-                T.StructField("declared", T.StringType()),
+                T.StructField("key", T.StringType()),
+                T.StructField("_h", T.LongType()),
                 T.StructField("segment", T.IntegerType()),
                 T.StructField("lang", T.StringType()),
                 T.StructField("confidence", T.DoubleType()),
@@ -272,20 +341,21 @@ class LanguageCheck:
                 T.StructField("letters", T.IntegerType()),
             ]
         )
+        kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    part = batch.slice(start, 500)
-                    found = languages_of(part.column(1).to_pylist(), profiles)
-                    ids, declared = part.column(0).to_pylist(), part.column(2).to_pylist()
-                    rows = [(ids[i], declared[i], k + 1, *s) for i, row in enumerate(found) for k, s in enumerate(row)]
-                    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
-                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
+                for start in range(0, batch.num_rows, 2000):
+                    part = batch.slice(start, 2000)
+                    found = languages_of(part.column(3).to_pylist(), profiles)
+                    owner = pa.array([i for i, row in enumerate(found) for _ in row], pa.int64())
+                    columns = list(zip(*[(k + 1, *s) for row in found for k, s in enumerate(row)])) or [()] * len(kinds)
+                    yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in range(3)], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=schema.names)
 
         # footers, notes and tags after the last sentence have no language of their own
-        return spread(self.texts.select(F.col("rec_id").cast("long").alias("rec_id"), body(F.col("text")).alias("text"), "declared")).mapInArrow(run, schema)
+        made = spread(self.texts.select("rec_id", "key", "_h", body(F.col("text")).alias("text"))).mapInArrow(run, schema)
+        told = lookup_join(cut_lineage(made.dropDuplicates(["rec_id", "_h", "segment"])), self.labels, "key")
+        return told.select("rec_id", "declared", "segment", "lang", "confidence", "sentences", "letters")
 
     def documents(self) -> DataFrame:
         """rec_id, declared, langs (of which there is a sentence), lang (of most letters), confidence."""
@@ -304,11 +374,11 @@ class LanguageCheck:
         return documents.where(differs).select("rec_id", F.explode("langs").alias("lang"))
 
 
-def declared_languages(annotations: DataFrame, images: DataFrame, tasks: DataFrame, sources: DataFrame) -> DataFrame:
-    """rec_id, text, declared of annotations (id, image_id, summary), each id once.
+def declared_languages(images: DataFrame, tasks: DataFrame, sources: DataFrame) -> DataFrame:
+    """key, declared: the language that is declared for each image id.
 
     Declared is the language of the image's task, else by lang_detect of the image's source: fixed_xx gives xx, dirname
-    the code in the image's file name. Without an image, or any of these, it is null.
+    the code in the image's file name. Images without any of these are left out.
     """
     task = tasks.select("task_id", language_of_label(F.col("language")).alias("by_task")).where("by_task is not null").groupBy("task_id").agg(F.min("by_task").alias("by_task"))
     rule = sources.select(F.col("name").alias("source"), F.lower(F.trim("lang_detect")).alias("rule")).where("source is not null").dropDuplicates(["source"])
@@ -317,19 +387,24 @@ def declared_languages(annotations: DataFrame, images: DataFrame, tasks: DataFra
     # source rules are a table of a few rows, which Spark sends to all tasks by its size; tasks may have a hot id
     known = lookup_join(image.join(rule, "source", "left"), task, "task_id")
     by_rule = F.when(F.col("rule").startswith("fixed"), language_of_label(F.regexp_extract("rule", r"^fixed[-_ ]*(.+)$", 1))).when(F.col("rule") == "dirname", language_of_file(F.col("filename")))
-    named = cut_lineage(known.select("key", F.coalesce("by_task", by_rule).alias("declared")).where("declared is not null"))
-    own = annotations.select(F.col("id").alias("rec_id"), image_key(F.col("image_id")).alias("key"), F.col("summary").alias("text"))
-    return lookup_join(own, named, "key").select("rec_id", "text", "declared").dropDuplicates(["rec_id", "text"])
+    return cut_lineage(known.select("key", F.coalesce("by_task", by_rule).alias("declared")).where("declared is not null"))
+
+
+def annotation_texts(annotations: DataFrame) -> DataFrame:
+    """rec_id, key, text of annotations (id, image_id, summary)."""
+    return annotations.select(F.col("id").alias("rec_id"), image_key(F.col("image_id")).alias("key"), F.col("summary").alias("text"))
 
 
-def check_languages(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageCheck:
-    """Find the languages of texts (rec_id, text, declared) and of their segments, each with a confidence.
+def check_languages(texts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageCheck:
+    """Find the languages of texts (rec_id, key, text) and of their segments, each with a confidence, beside the language
+    that labels (key, declared) declare for their key; labels have one row for a key.
 
     Prototypes are trained on at most ``sample_rows`` distinct texts with a declared language, wrong and mixed ones
-    included; each declared language has one in LANGUAGE_SHARE of them, or all its texts if it has fewer. Copies are
-    trained on only if there are fewer distinct texts than that.
+    included, and none longer than SAMPLE_LENGTH; each declared language has one in LANGUAGE_SHARE of them, or all its
+    texts if it has fewer. Copies are trained on only if there are fewer distinct texts than that.
     Languages without any such text can't be found. Null, blank and empty texts and texts without a letter have no
     segment; names, tickers, units, footers and stumps make no language. Whole texts are read, however long. Texts with
-    the same rec_id are taken as one. An empty table gives empty results. Other columns are not read.
+    the same rec_id are taken as one, exact copies count once. Without a key nothing is declared. An empty table gives
+    empty results. Other columns are not read.
     """
-    return LanguageCheck(texts, sample_rows)
+    return LanguageCheck(texts, labels, sample_rows)

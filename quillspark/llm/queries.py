@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.languages import LanguageCheck, check_languages, declared_languages
+from quillspark.llm.languages import LanguageCheck, annotation_texts, check_languages, declared_languages
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.overlap import Overlap, cross_split_overlap
 from quillspark.llm.proportions import ProportionSample, proportion_sample
@@ -16,7 +16,7 @@ from quillspark.sources.tables import table
 
 
 def _languages(spark: SparkSession, d: str) -> LanguageCheck:
-    return check_languages(declared_languages(table(spark, d, "annotations"), table(spark, d, "images"), table(spark, d, "task_definitions"), table(spark, d, "data_sources")))
+    return check_languages(annotation_texts(table(spark, d, "annotations")), declared_languages(table(spark, d, "images"), table(spark, d, "task_definitions"), table(spark, d, "data_sources")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

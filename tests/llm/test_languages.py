@@ -43,6 +43,23 @@ def test_mixed_texts_have_segments(profiles):
                 assert [s[0] for s in got] == [a, b] and all(0 <= s[1] <= 1 and s[2] == 1 for s in got)
 
 
+def test_cosines_of_runs_are_those_of_bundles(profiles):
+    segments = [L.letters_only(t) for t in [*HELD.values(), *LINES.values(), "x", "ab", HELD["en"] * 50]]
+    exact, fast = profiles.cosines(L.bundle(segments)), profiles.cosines_of(segments)
+    assert abs(exact[:-3] - fast[:-3]).max() < 0.1 and (exact[:-3].argmax(axis=1) == fast[:-3].argmax(axis=1)).all()
+
+
+def test_confidence_is_that_of_the_labels():
+    """Where half of the labels are arbitrary between two languages, no confidence is near one."""
+    import random
+
+    random.seed(3)
+    halves = [(" ".join(random.sample(LINES[k].split(". "), 3)), random.choice(["en", "de"]) if k == "en" else k) for k in ("en", "de", "fr") for _ in range(40)]
+    loose = L.train([t for t, _ in halves], [k for _, k in halves])
+    sure = L.train([t for t in LINES.values() for _ in range(9)], [k for k in LINES for _ in range(9)])
+    assert loose.sharpness < sure.sharpness
+
+
 def test_what_makes_no_language(profiles):
     for text in (None, "", "  \n ", "12.5 / 13", "VWAP", "🙂🙂"):
         assert not [s for s in L.languages_of([text], profiles)[0] if s[2]]
@@ -64,6 +81,13 @@ def test_labels_and_file_names(spark):
     assert [r.x for r in df.collect()] == [b for _, b in files]
 
 
+def checked(df, *more):
+    """Each row is its own key."""
+    keyed = df.withColumn("key", F.md5(F.to_json(F.struct(*df.columns)))).drop("declared", "lang")
+    labels = df.select(F.md5(F.to_json(F.struct(*df.columns))).alias("key"), "declared").distinct()
+    return L.check_languages(keyed, labels, *more)
+
+
 def test_mismatches(spark):
     rows, k = [], 0
     for language, text in LINES.items():
@@ -72,16 +96,16 @@ def test_mismatches(spark):
             k += 1
     rows += [(100, HELD["en"], "de", "x"), (101, HELD["en"] + " " + HELD["fr"], "en", "x"), (102, HELD["es"], None, "x"), (103, None, "en", "x"), (104, "12", "en", "x"), (105, HELD["zh"], "zh", "x"), (100, HELD["en"], "de", "x")]
     df = spark.createDataFrame(rows, "rec_id bigint, text string, declared string, lang string")
-    check = L.check_languages(df)
+    check = checked(df)
     assert sorted(map(tuple, check.mismatches().collect())) == [(100, "en"), (101, "en"), (101, "fr"), (102, "es")]
-    assert L.check_languages(df.limit(0)).mismatches().count() == 0
+    assert checked(df.limit(0)).mismatches().count() == 0
 
 
 def test_sample_reads_six_thousand_texts(spark, monkeypatch):
     seen, train = [], L.train
     monkeypatch.setattr(L, "train", lambda texts, labels: seen.append(len(texts)) or train(texts, labels))
     df = spark.range(7_000).selectExpr("id rec_id", "concat('Most people in town ', id, ' had heard of it before.') text", "'en' declared")
-    L.check_languages(df)
+    checked(df)
     assert seen == [6_000]
 
 
@@ -93,7 +117,7 @@ def test_copies_and_rare_languages_in_the_sample(spark, monkeypatch):
     copies = spark.range(1000, 1900).select(F.col("id").alias("rec_id"), F.lit(lowest).alias("text"), F.lit("en").alias("declared"))
     highest = sorted((r.text for r in spark.range(500).select(F.concat(F.lit("Die meisten Leute hatten schon davon gehört: "), "id", F.lit(".")).alias("text")).orderBy(F.xxhash64("text").desc()).limit(2).collect()))
     rare = spark.createDataFrame([(5000 + k, t, "de") for k, t in enumerate(highest)], "rec_id bigint, text string, declared string")
-    check = L.check_languages(df.unionByName(copies).unionByName(rare), 60)
+    check = checked(df.unionByName(copies).unionByName(rare), 60)
     assert len(seen) == len(set(seen)) == 60 and {t for t, k in seen if k == "de"} == set(highest)
     assert check.profiles.known[L.LANGUAGES.index("de")]
 
@@ -103,8 +127,9 @@ def test_declared_languages(spark):
     tasks = spark.createDataFrame([("t1", "English"), ("t2", "auto"), ("t2", "auto")], "task_id string, language string")
     sources = spark.createDataFrame([("s1", "dirname"), ("s2", "fixed_zh")], "name string, lang_detect string")
     notes = spark.createDataFrame([(1, " A ", "x"), (2, "b", "x"), (3, "C", "x"), (4, "d", "x"), (5, "none", "x"), (6, None, "x"), (1, " A ", "x")], "id bigint, image_id string, summary string")
-    got = {r.rec_id: r.declared for r in L.declared_languages(notes, images, tasks, sources).collect()}
-    assert got == {1: "en", 2: "de", 3: "zh", 4: None, 5: None, 6: None}
+    got = {r.key: r.declared for r in L.declared_languages(images, tasks, sources).collect()}
+    assert got == {"a": "en", "b": "de", "c": "zh"}
+    assert {(r.rec_id, r.key) for r in L.annotation_texts(notes).collect()} == {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "none"), (6, None)}
 
 
 def test_long_runs_take_no_long_time(profiles):
