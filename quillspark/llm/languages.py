@@ -62,9 +62,9 @@ _LABEL = re.compile(r"^\W*[^\s:：]{1,20}\s?[:：]\s*\S.{0,80}$")
 _HAN = re.compile(r"[㐀-鿿]")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Names in brackets or quotation marks and words of capitals say nothing about the language around them.
+#: Names in brackets or quotation marks and words of capitals and figures say nothing about the language around them.
 _BRACKETS = re.compile(r"[(（\[【][^()（）\[\]【】]{0,30}[)）\]】]")
-_CAPITALS = re.compile(r"\b[A-Z0-9][A-Z0-9-]+\b")
+_CAPITALS = re.compile(r"(?<![A-Za-zÀ-ÿ])[A-Z0-9][A-Z0-9-]+(?![A-Za-zÀ-ÿ])")
 _SMALL = re.compile(r"[a-zß-öø-ÿ]{2}")
 
 

@@ -63,6 +63,7 @@ def test_confidence_is_that_of_the_labels():
 def test_what_makes_no_language(profiles):
     for text in (None, "", "  \n ", "12.5 / 13", "VWAP", "🙂🙂"):
         assert not [s for s in L.languages_of([text], profiles)[0] if s[2]]
+    assert {s[0] for s in L.languages_of(["镇上的大多数人以前都听说过这件事。编号7020D8E23785445A3B。"], profiles)[0] if s[2]} == {"zh"}
     got = L.languages_of(["镇上的大多数人（Orvane Composite Index）以前都听说过这件事。\nFocus: Kestrel Bay credit spread"], profiles)[0]
     assert {s[0] for s in got if s[2]} == {"zh"}
 
