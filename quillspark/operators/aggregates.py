@@ -7,14 +7,39 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
+
+
+def spread_quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
+    """group, q: interpolated quantiles of each group as an array, exact, and without any task that holds a group.
+
+    Equal values are counted first; the counts are range-partitioned by group and value, so a hot group lies in many
+    tasks, and each task's counts tell the next ones where their ranks begin.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = cut_lineage(counts.repartitionByRange(*group, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = parts.groupBy(*group, "_p").agg(F.sum("_n").alias("_s"))
+    whole = Window.partitionBy(*group)
+    before = sums.select(*group, "_p", (F.sum("_s").over(whole.orderBy("_p")) - F.col("_s")).alias("_b"), F.sum("_s").over(whole).alias("_all"))
+    inner = F.sum("_n").over(Window.partitionBy(*group, "_p").orderBy("_v"))
+    same = F.lit(True)
+    for name in [*group, "_p"]:
+        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    placed = parts.withColumn("_to", inner).alias("a").join(before.alias("b"), same).select(*[F.col(f"a.{g}").alias(g) for g in group], "_v", "_all", (F.col("_to") + F.col("_b")).alias("_to"), "_n")
+    place = [(F.col("_all") - 1) * q for q in at]
+    holds = lambda rank: (rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n"))
+    low = [F.max(F.when(holds(F.floor(p)), F.col("_v"))) for p in place]
+    high = [F.max(F.when(holds(F.ceil(p)), F.col("_v"))) for p in place]
+    rest = [F.max(p - F.floor(p)) for p in place]
+    return placed.groupBy(*group).agg(F.array(*[a + (b - a) * r for a, b, r in zip(low, high, rest)]).alias("q"))
+
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std (sample), min, q25, median, q75, max of each numeric column."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max")).select(
-        "column", "n", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "max"
-    )
+    told = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = spread_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75])
+    return told.join(q, "column", "left").select("column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
 
 
 def distribution(df: DataFrame, columns: list[str], whole: int = 10, top: int = 5) -> DataFrame:
@@ -28,8 +53,13 @@ def distribution(df: DataFrame, columns: list[str], whole: int = 10, top: int =
 
 def quantiles(df: DataFrame, group: list[str], column: str, at: list[float]) -> DataFrame:
     """Interpolated quantiles as q01 ... for each group, with mean, deviation and extremes."""
-    g = df.groupBy(*group).agg(F.percentile(column, F.array(*[F.lit(q) for q in at])).alias("_q"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
-    return g.select(*group, *[F.col("_q")[k].alias(f"q{round(q * 100):02d}") for k, q in enumerate(at)], "mean", "std", "min", "max")
+    told = df.groupBy(*group).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = spread_quantiles(df, group, column, at).withColumnsRenamed({g: f"_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    joined = told.join(q, same, "left")
+    return joined.select(*group, *[F.col("q")[k].alias(f"q{round(x * 100):02d}") for k, x in enumerate(at)], "mean", "std", "min", "max")
 
 
 def rank_percentiles(df: DataFrame, group: list[str], column: str, percents: list[int]) -> DataFrame:

@@ -84,20 +84,23 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def rolling(df: DataFrame, most: int = 30) -> DataFrame:
-    """Mean and sample deviation over the last w = min(most, n // 10) rows, full windows only; short series have none.
+#: One width of a rolling window, as a range of places.
+WIDTH = 1_000_000
 
-    w differs by series, so the frame is the widest one and rows older than w are left out by their number.
-    """
-    rows = numbered(df).withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / 10)).cast("int"))
-    frame = by_series("i").rowsBetween(-(most - 1), 0)
-    recent = F.filter(F.collect_list(F.struct("i", "value")).over(frame), lambda x: x["i"] > F.col("i") - F.col("w"))
-    values = rows.withColumn("_v", F.transform(recent, lambda x: x["value"])).where("w > 0 and i >= w - 1")
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-    mean = total(F.col("_v"), lambda v: v) / F.col("w")
-    with_mean = values.withColumn("mean", mean)
-    spread = F.sqrt(total(F.col("_v"), lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / (F.col("w") - 1))
-    return with_mean.withColumn("std", F.when(F.col("w") > 1, spread)).select("series", "d", "i", "n", "w", "mean", "std")
+
+def last_rows(most: int, own: bool = True):
+    """A frame of each series' last w rows, w being a column of at most ``most``; ``own`` is whether the row itself is among
+    them, else only the w - 1 rows before it are. Rows are placed w to a WIDTH, so one range fits every series."""
+    frame = Window.partitionBy("series").orderBy(F.floor(F.col("i") * WIDTH / F.col("w")))
+    return frame.rangeBetween(-(WIDTH - WIDTH // (2 * most)), 0 if own else -1)
+
+
+def rolling(df: DataFrame, most: int = 30) -> DataFrame:
+    """Mean and sample deviation over the last w = min(most, n // 10) rows, full windows only; short series have none."""
+    rows = numbered(df).withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / 10)).cast("int")).where("w > 0")
+    frame = last_rows(most)
+    told = rows.withColumns({"mean": F.avg("value").over(frame), "std": F.stddev_samp("value").over(frame)})
+    return told.where("i >= w - 1").select("series", "d", "i", "n", "w", "mean", F.when(F.col("w") > 1, F.col("std")).alias("std"))
 
 
 def change_points(df: DataFrame, least: int = 100, keep: int = 5) -> DataFrame:
@@ -118,14 +121,9 @@ def change_points(df: DataFrame, least: int = 100, keep: int = 5) -> DataFrame:
 
 def rolling_volatility(df: DataFrame, most: int = 60) -> DataFrame:
     """Volatility in percent of the w = min(most, n // 5) values before each row, from their w - 1 returns."""
-    rows = with_returns(df).withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / 5)).cast("int"))
-    frame = by_series("i").rowsBetween(-(most - 1), -1)
-    some = F.filter(F.collect_list(F.struct("i", "r")).over(frame), lambda x: (x["i"] > F.col("i") - F.col("w")) & x["r"].isNotNull())
-    listed = rows.withColumn("_r", F.transform(some, lambda x: x["r"])).where("w > 1 and i >= w and size(_r) > 0")
-    mean = F.aggregate("_r", F.lit(0.0), lambda s, v: s + v) / F.size("_r")
-    with_mean = listed.withColumn("_m", mean)
-    deviation = F.sqrt(F.aggregate("_r", F.lit(0.0), lambda s, v: s + (v - F.col("_m")) * (v - F.col("_m"))) / F.size("_r"))
-    return with_mean.withColumn("vol", deviation * F.sqrt(F.lit(YEAR_DAYS)) * 100).select("series", "d", "i", "vol")
+    rows = with_returns(df).withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / 5)).cast("int")).where("w > 1")
+    deviation = F.stddev_pop("r").over(last_rows(most, own=False))
+    return rows.withColumn("vol", deviation * F.sqrt(F.lit(YEAR_DAYS)) * 100).where("i >= w and vol is not null").select("series", "d", "i", "vol")
 
 
 def volatility_regimes(df: DataFrame) -> DataFrame:
