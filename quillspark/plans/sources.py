@@ -106,6 +106,7 @@ SQL = {
     "s04_lines": "select event_id, user_id, props from events",
     "s05_latest_lines": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
     "s06_folders": "select distinct 'name=' || name as folder from data_sources",
+    "s11_series": "with c as (select prefix as series from data_sources), f as (select series, day, 1 + (cast('0x' || substr(md5(series || strftime(day, '%Y-%m-%d')), 1, 4) as bigint) / 65535.0::double - 0.5) / 50 as f from c, (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-03-31', interval 1 day)) as day)) select series, strftime(day, '%Y-%m-%d') as d, round(100 * product(f) over (partition by series order by day), 4) as value, null::varchar as error from f union all select 'bad_one', null, null, 'ValueError: no series bad_one'",
     "s17_codes": "with e as (select indicator || coalesce(', ' || theme, '') as indicator, unnest([indicator, theme]) as part from indicators), m as (select indicator as part, upper(shape) as code from indicators where theme = 'prices') select e.indicator, e.part, coalesce(code, e.part) as code from e left join m using (part) where e.part is not null",
     "s20_flow": "select s as source, t as target, round(cast('0x' || substr(md5('4:' || s || ':' || t), 1, 8) as bigint) / 4294967296.0 * 100, 2) as value from (select unnest(['a', 'b', 'c']) as s), (select unnest(['x', 'y']) as t)",
     "k05_manifest": "select split, count(*) as rows from (select distinct * from split_members where split is not null) group by split",

@@ -7,6 +7,9 @@ from tests.compare import connect, differences
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
+#: Queries that SQL can't state; their rows are compared with plain computations in test_sources_and_judging.py.
+TESTED_BY_VALUE = {"a24_rouge_l", "a24_rouge_stemmed", "a25_meteor", "a25_meteor_stemmed", "w09_peaks", "w10_piecewise_segments"}
+
 
 @pytest.fixture(scope="module")
 def con(data):
@@ -18,7 +21,8 @@ def test_query(spark, data, con, name):
     if name in SQL:
         assert differences(spark, con, data, QUERIES[name], SQL[name]) == []
     else:
-        assert QUERIES[name](spark, data).count() >= 0
+        df = QUERIES[name](spark, data)
+        assert name in TESTED_BY_VALUE and 0 < df.count() == df.distinct().count()
 
 
 def test_every_sql_has_a_query():
