@@ -56,6 +56,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).found()
 
 
+def p4_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation and training members of one image id."""
+    return _overlap(spark, d).same_marks().where("how = 'id'").select("evaluation", "training")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).report()
 
@@ -114,7 +119,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_report, p4_links, p4_classes, p5_found, p5_rates, p5_peaks, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
+    for f in (p1_found, p1_segments, p1_documents, p3_found, p3_sample, p3_report, p4_found, p4_by_id, p4_report, p4_links, p4_classes, p5_found, p5_rates, p5_peaks, p6_ids, p7_copies, p7_shares, p8_found, p8_scores)
 }
 
 _TARGETS = r"""
@@ -154,7 +159,10 @@ near as (
 select tab, source, unit, length, texts from near where texts >= 8 and texts >= 4 * greatest(others, 0.5)
 """
 
+_ID = "lower(regexp_replace(image_id, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g'))"
+
 SQL = {
+    "p4_by_id": f"with m as (select distinct member_id, {_ID} as key, lower(trim(split)) = 'train' as train from split_members where trim(split) <> '') select distinct e.member_id as evaluation, t.member_id as training from m e join m t using (key) where key <> '' and not e.train and t.train and e.member_id <> t.member_id",
     "p5_peaks": _PEAKS,
     "p3_found": _TARGETS + "select target_id from counts where available < need",
     "p3_sample": _TARGETS
