@@ -71,6 +71,7 @@ _LEADING = re.compile(r"\W*(\d{1,4})(?:[-/年](\d{1,2}))?(?!\d)")
 _PRICE = re.compile(r"(?<![\d.,])\d{1,5}[.,]\d{2}(?![\d.,%])")
 _CODE = re.compile(r"(?<![\d.,])\d{3,}(?![\d.,%])")
 _NUMBERS = re.compile(r"\d[\d.,]*")
+_DIGIT = re.compile("[0-9]")
 _DIGITS = "0123456789"
 #: How the numbers that two lines of a table begin with differ, year and month or day.
 _STEPS = frozenset([(1, 0), (-1, 0), (0, 1), (0, -1), (1, -11), (-1, 11), (1, -9), (1, -3), (0, 3)])
@@ -89,12 +90,12 @@ def _bars(text: str) -> int:
     return len(_BARS.findall(text)) - (text.count(" »") if "«" in text else 0)
 
 
-def _is_sentence(unit: str, words: list[str], bars: int) -> bool:
+def _is_sentence(unit: str, words: list[str], bars: int, has_han: bool) -> bool:
     """Whether a piece, with its words in small letters, reads as a sentence: words joined by function words, not a row
     of names."""
     if bars > 1:
         return False
-    if not unit.isascii():
+    if has_han:
         han = _HAN.findall(unit)
         if han:
             words = [w for w in words if not _HAN.match(w)]
@@ -118,7 +119,7 @@ def _is_sentence(unit: str, words: list[str], bars: int) -> bool:
 
 def _form(line: str) -> str:
     """A line's outline: letters and figures left out."""
-    return "".join(c for c in _NUMBERS.sub("0", _WORD.sub("", line)) if not c.isspace())
+    return "".join(_NUMBERS.sub("0", _WORD.sub("", line)).split())
 
 
 def describe(text: str) -> tuple[list[float], list[str]]:
@@ -133,7 +134,9 @@ def describe(text: str) -> tuple[list[float], list[str]]:
     if tags:
         bare = _TAG.sub(" ", bare)
     prose = GIVEN
-    keyword = again = figures = words_all = bound_all = barred = products = series = 0
+    keyword = again = figures = bound_all = barred = products = series = 0
+    has_han = bool(_HAN.search(bare))
+    every: list[str] = []
     seen: set[str] = set()
     forms: dict[str, list[int]] = {}
     before: tuple[int, int] | None = None
@@ -141,11 +144,11 @@ def describe(text: str) -> tuple[list[float], list[str]]:
         whole = _solid(line)
         if not whole:
             continue
-        bars = _bars(line)
+        bars = _bars(line) if " " in line else 0
         if bars > 2:
             barred += whole
         stepped = sold = False
-        if any(map(line.count, _DIGITS)):
+        if _DIGIT.search(line):
             first = _LEADING.match(line)
             at = (int(first.group(1)), int(first.group(2) or 0)) if first else None
             stepped = bool(at and before) and (at[0] - before[0], at[1] - before[1]) in _STEPS
@@ -156,17 +159,18 @@ def describe(text: str) -> tuple[list[float], list[str]]:
         form = _form(line)
         if 1 < len(form) < 40:
             forms.setdefault(form, []).append(whole)
-        for unit in _STOP.split(line):
-            solid = _solid(unit)
+        units = _STOP.split(line)
+        for unit in units:
+            solid = whole if len(units) == 1 else _solid(unit)
             if not solid:
                 continue
             words = _WORD.findall(unit.lower())
-            words_all += len(words)
-            bound_all += sum(w in FUNCTION_WORDS for w in words)
-            if not unit.isascii():
-                bound_all += sum(map(unit.count, FUNCTION_HAN)) / 2
+            every += words
+            bound_all += sum(map(FUNCTION_WORDS.__contains__, words))
+            if has_han:
+                bound_all += sum(map(FUNCTION_HAN.__contains__, unit)) / 2
             letters = sum(map(len, words))
-            if _is_sentence(unit, words, bars if unit is line else _bars(unit)):
+            if _is_sentence(unit, words, bars if len(units) == 1 or not bars else _bars(unit), has_han):
                 prose += solid
             elif letters * 2 > solid and "\":" not in unit and "\": " not in unit:
                 keyword += solid
@@ -177,7 +181,7 @@ def describe(text: str) -> tuple[list[float], list[str]]:
                 again += solid
             seen.add(shape)
         products += whole if sold and prose == told else 0
-    counted = _COUNTED.findall(bare.lower())
+    counted = _COUNTED.findall(bare.lower()) if has_han else every
     return [
         prose / size,
         sum(map(len, links)) / size,
@@ -188,7 +192,7 @@ def describe(text: str) -> tuple[list[float], list[str]]:
         _digits(bare) / size,
         figures / size,
         len(_KEY.findall(text)) * 10 / size,
-        bound_all / max(1, words_all),
+        bound_all / max(1, len(every)),
         barred / size,
         products / size,
         series / size,
