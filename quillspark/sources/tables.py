@@ -14,9 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def image_key(column):
     """How image ids are compared: without surrounding blanks and without regard to case; blank ids give null.
 
-    Blanks are all white space that Unicode knows, so a no-break space or a tab counts as well.
+    Blanks are all white space that Unicode knows, so a no-break space or a tab counts as well. Most ids are plain letters
+    without any, which one look tells.
     """
-    trimmed = F.lower(F.regexp_replace(column, r"(?U)^\s++|(?<!\s)\s++$", ""))
+    plain = column.rlike(r"^[!-~]*+$")
+    trimmed = F.lower(F.when(plain, column).otherwise(F.regexp_replace(column, r"(?U)^\s++|(?<!\s)\s++$", "")))
     return F.when(trimmed != "", trimmed)
 
 
