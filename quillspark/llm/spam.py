@@ -210,11 +210,11 @@ def weak_label(x: dict[str, np.ndarray]) -> np.ndarray:
     quiet, bare, junk = x["links"] + x["tags"] == 0, x["prose"] < 0.4, x["links"] + x["tags"]
     stuffed = bare & (x["repeated"] > 0.5) & (x["keywords"] > 0.6) & (x["words"] >= 30) & (x["series"] < 0.05)
     listed = bare & (junk > 0.5)
-    sold = bare & (x["products"] > 0.8) & (x["series"] < 0.05) & (x["forms"] > 0.5)
+    sold = bare & (x["products"] > 0.8) & (x["series"] < 0.05) & (x["forms"] > 0.5) & (x["digits"] < 0.36)
     barred = bare & (x["bars"] > 0.6) & (x["figures"] < 0.1) & (x["digits"] < 0.1)
     told = (junk < 0.05) & (x["prose"] > 0.97) & (x["words"] >= 60)
     said = quiet & (x["prose"] > 0.99) & (x["words"] < 20)
-    tabled = quiet & (x["series"] > 0.5) & (x["products"] < 0.1)
+    tabled = quiet & (((x["series"] > 0.5) & (x["products"] < 0.1)) | ((x["digits"] > 0.38) & (x["repeated"] < 0.7)))
     coded = quiet & (x["quoted"] > 0.1)
     short = quiet & (x["words"] < 6) & (x["digits"] < 0.3)
     spam, fine = stuffed | listed | sold | barred, told | said | tabled | coded | short

@@ -31,6 +31,9 @@ def ham(kind):
         return " ".join(say() + random.choice(["", f" (https://notes{random.randint(1, 99)}.example/c/1)"]) for _ in range(8))
     if kind == "table":
         return say() + "\n" + "\n".join(f"{2000 + k} | {random.randint(1, 9999)}.{k} million crowns | {random.random():.2f}" for k in range(25))
+    if kind == "loose":
+        # rows that don't follow each other
+        return say() + "\n" + "\n".join(f"{random.randint(1000, 9999)}  {random.randint(1, 9999)}.{k} {random.choice(['points', 'tonnes'])}  {random.random():.2f}" for k in range(20))
     if kind == "json":
         return '{"subject": "ore price", "facts": [' + ", ".join(f'{{"id": {k}, "type": "value", "value": {random.random()}}}' for k in range(9)) + "]}"
     return "\n".join("- " + say() for _ in range(6))
@@ -40,7 +43,7 @@ def ham(kind):
 def found(spark):
     random.seed(8)
     rows = [(k, random.choice(["open", "desk", None]), spam(random.choice(["words", "links", "products", "tags"]))) for k in range(120)]
-    rows += [(1000 + k, random.choice(["open", "desk"]), ham(random.choice(["prose", "linked", "table", "json", "list"]))) for k in range(500)]
+    rows += [(1000 + k, random.choice(["open", "desk"]), ham(random.choice(["prose", "linked", "table", "loose", "json", "list"]))) for k in range(500)]
     rows += [(5000, "open", None), (5001, None, ""), (5002, "open", " \n\t"), (5003, "open", "x"), (5004, "open", ham("prose") * 500), (0, "open", rows[0][2])]
     return spam_pages(spark.createDataFrame([(*r, 1.0, ["h"]) for r in rows], "doc_id bigint, source string, text string, own double, hosts array<string>"))
 
