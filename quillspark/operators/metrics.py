@@ -12,7 +12,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import ship_package
+from quillspark.operators.skew import lookup_join
+from quillspark.session import cut_lineage, ship_package
 
 WORD = "[a-z0-9]+|[一-鿿]"
 
@@ -129,12 +130,14 @@ def rouge_n(pairs: DataFrame, most: int = 2, cut=tokens) -> DataFrame:
 
 
 def cider(pairs: DataFrame) -> DataFrame:
-    """pair, cider: 10 x the mean cosine, over n = 1 to 4, of n-gram counts weighted by log(pairs / references with it)."""
-    counts = gram_counts(pairs)
-    df = counts.where("r > 0").groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    """pair, cider: 10 x the mean cosine, over n = 1 to 4, of n-gram counts weighted by log(pairs / references with it). The
+    counts are written once."""
+    counts = cut_lineage(gram_counts(pairs).withColumn("_g", F.struct("n", "gram")))
+    df = counts.where("r > 0").groupBy("_g").agg(F.count(F.lit(1)).alias("df"))
     total = pairs.agg(F.count(F.lit(1)).alias("_all"))
     idf = F.log(F.col("_all") / F.greatest(F.coalesce(F.col("df"), F.lit(0)), F.lit(1)))
-    weighed = counts.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total)).withColumn("w", idf)
+    # frequent words are hot keys
+    weighed = lookup_join(counts, df, "_g").crossJoin(F.broadcast(total)).withColumn("w", idf)
     by = weighed.groupBy("pair", "n").agg(F.sum(F.col("p") * F.col("r") * F.col("w") * F.col("w")).alias("dot"), F.sum(F.col("p") * F.col("p") * F.col("w") * F.col("w")).alias("pp"), F.sum(F.col("r") * F.col("r") * F.col("w") * F.col("w")).alias("rr"))
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("pp") * F.sqrt("rr")), F.lit(0.0))
     return by.groupBy("pair").agg((10 * F.sum(cosine) / 4).alias("cider"))
