@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.skew import matched
 from quillspark.session import cut_lineage
 
 #: The unit interval of the draws is counted in this many parts; only the part in which a target's last row lies is
@@ -48,8 +49,11 @@ class ProportionSample:
         )
         looked = own.select("task_id", F.inline(pairs)).where("chart_key is not null and theme_key is not null")
         draw = unit_draw(seed, F.col("target_id"), F.col("task_id"))
+        # many targets are met by a shuffle, in which the tasks under "any", which are all, are cut into parts
+        on = F.struct("chart_key", "theme_key")
+        met = looked.join(F.broadcast(keyed), ["chart_key", "theme_key"]) if small else matched(keyed.select("target_id", on.alias("_k")), looked.select("task_id", on.alias("_k")), "_k")
         self.members = (
-            looked.join(F.broadcast(keyed) if small else keyed, ["chart_key", "theme_key"])
+            met
             .select("target_id", "task_id")
             .distinct()
             .withColumn("draw", draw)

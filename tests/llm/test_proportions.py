@@ -56,3 +56,16 @@ def test_one_category_holds_nearly_all(spark):
 def test_empty(spark):
     check(spark, [], [(1, "a", "line", None, 0.5, 0, 10), (2, "a", None, None, 0.0, 0, 10)])
     check(spark, [("t", "line", "x", 1, 0.0)], [])
+
+
+def test_many_targets_draw_the_same(spark, monkeypatch):
+    """Above BROADCAST_TARGETS the lookup is a shuffle whose hot key, all tasks under "any", is cut into parts."""
+    from quillspark.llm import proportions
+
+    random.seed(9)
+    tasks = [(f"t{k}", random.choice(["bar", "Line", None]), random.choice(["fx", None]), 1, 0.5) for k in range(400)]
+    targets = [(1, "a", None, None, 0.5, 1, 100), (2, "a", "bar", None, 0.3, 1, 100), (3, "a", "line", "fx", 0.2, 1, 1000), (4, "a", "pie", None, 0.1, 1, 10)]
+    draw = lambda: sorted(map(tuple, proportion_sample(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(targets, TARGETS)).sample().collect()))
+    want = draw()
+    monkeypatch.setattr(proportions, "BROADCAST_TARGETS", 2)
+    assert want == draw() and len(want) > 80
