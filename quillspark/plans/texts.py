@@ -358,5 +358,5 @@ b as (select pair, sum(least(p, r))::double as hit, sum(p)::double as sp, sum(r)
 v as (select pair, prediction, try_cast(nullif(regexp_extract(translate(prediction, ',%', ''), '(-?[0-9]+\\.?[0-9]*)', 1), '') as double) as a, try_cast(nullif(regexp_extract(translate(reference, ',%', ''), '(-?[0-9]+\\.?[0-9]*)', 1), '') as double) as t, (cast(regexp_matches(prediction, '(?i)Layout') as int) + cast(regexp_matches(prediction, '版面') as int)) / 2.0 as h from pr)
 select v.pair, round(cast(case when trim(prediction) = '' then 0.0 when length(prediction) between 500 and 3000 then least(h + 0.1, 1.0) when length(prediction) > 5000 then greatest(h - 0.3, 0.0) else h end as double), 6) as sections,
   coalesce(case when t = 0 then case when abs(a) < 0.001 then 1.0 else 0.0 end when abs(a - t) <= abs(t) * 0.03 then 1.0 else case when a is null or t is null then 0.0 else 0.0 end end, 0.0)::double as values,
-  round(coalesce(2 * hit / nullif(sp + sr, 0), 0), 6) as overlap from v left join b using (pair)""",
+  round(coalesce(2 * coalesce(hit / nullif(sp, 0), 0) * coalesce(hit / nullif(sr, 0), 0) / nullif(coalesce(hit / nullif(sp, 0), 0) + coalesce(hit / nullif(sr, 0), 0), 0), 0), 6) as overlap from v left join b using (pair)""",
     }
