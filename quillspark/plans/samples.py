@@ -112,7 +112,7 @@ def m08_affinities(spark, d):
     chances = tasks.groupBy("chart", "theme").agg(F.count(F.lit(1)).cast("double").alias("p"))
     affinity = spark.createDataFrame([("pie", "bonds", 0.9), ("pie", "default", 0.2), ("line", "shipping", 0.0), ("line", "default", 0.7)], "chart string, theme string, affinity double")
     banned = spark.createDataFrame([("bar", "prices"), ("radar", "bonds")], "chart string, theme string")
-    return rounded(M.affinity_distribution(chances, affinity, banned, "chart", "theme"), 6)
+    return rounded(M.affinity_distribution(chances, affinity, banned, "chart", "theme"), 9)
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__[0] != "_"}
@@ -159,5 +159,5 @@ c as (select chart, theme, count(*)::double as p from n group by all),
 s as (select *, p * case when (chart, theme) in (('bar', 'prices'), ('radar', 'bonds')) then 0 when chart = 'pie' then case when theme = 'bonds' then 0.9 else 0.2 end
   when chart = 'line' then case when theme = 'shipping' then 0 else 0.7 end else 0.5 end as w from c),
 q as (select *, sum(w) over (partition by chart) as al, sum(p) over (partition by chart) as raw from s)
-select chart, theme, round(case when al > 0 then w / al else p / raw end, 6) as chance from q where case when al > 0 then w / al else p / raw end > 0""",
+select chart, theme, round(case when al > 0 then w / al else p / raw end, 9) as chance from q where case when al > 0 then w / al else p / raw end > 0""",
 }
