@@ -91,7 +91,7 @@ WIDTH = 1_000_000
 def last_rows(most: int, own: bool = True):
     """A frame of each series' last w rows, w being a column of at most ``most``; ``own`` is whether the row itself is among
     them, else only the w - 1 rows before it are. Rows are placed w to a WIDTH, so one range fits every series."""
-    frame = Window.partitionBy("series").orderBy(F.floor(F.col("i") * WIDTH / F.col("w")))
+    frame = Window.partitionBy("series").orderBy(F.expr(f"(cast(i as bigint) * {WIDTH}) div w"))
     return frame.rangeBetween(-(WIDTH - WIDTH // (2 * most)), 0 if own else -1)
 
 

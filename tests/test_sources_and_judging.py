@@ -318,3 +318,19 @@ def test_the_rest_passes_without_the_subpackage_on_disk(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and not any(n.startswith(('p1_', 'p3_')) for n in q); assert set(e.oracle_sql()) <= set(q)"
     env = os.environ | {"PYTHONPATH": str(tmp_path)}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+
+
+def test_rolling_windows_of_long_series(spark):
+    """Places times a width don't fit into an integer from row 2148 on."""
+    from quillspark.operators import series as W
+
+    n = 5000
+    v = np.random.default_rng(4).normal(size=n).cumsum() + 100
+    df = spark.createDataFrame([("s", k, float(x)) for k, x in enumerate(v)], "series string, d int, value double")
+    got = W.rolling(df).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(29, n))
+    assert np.allclose([r["mean"] for r in got], np.lib.stride_tricks.sliding_window_view(v, 30).mean(axis=1))
+    assert np.allclose([r["std"] for r in got], np.lib.stride_tricks.sliding_window_view(v, 30).std(axis=1, ddof=1))
+    vol = {r.i: r.vol for r in W.rolling_volatility(df).collect()}
+    returns = np.diff(v) / v[:-1]
+    assert set(vol) == set(range(60, n)) and all(math.isclose(vol[i] / vol[100], returns[i - 60 : i - 1].std() / returns[40:99].std(), rel_tol=1e-9) for i in (60, 61, 3000, n - 1))
